@@ -99,10 +99,10 @@ def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id") -> DataFram
 
 
 SQL = r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS words FROM documents),
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS words FROM documents),
 d AS (SELECT DISTINCT doc_id, array_to_string(words[pos:pos + 4], ' ') AS shingle
       FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS pos FROM w WHERE len(words) > 0)),
-v AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS words FROM benchmark),
+v AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS words FROM benchmark),
 i AS (SELECT DISTINCT item_id, array_to_string(words[pos:pos + 4], ' ') AS shingle
       FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS pos FROM v WHERE len(words) > 0)),
 n AS (SELECT item_id, count(*) AS n_shingles FROM i GROUP BY item_id)

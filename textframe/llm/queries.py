@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textframe.llm import decontaminate, fingerprint, language, pieces, secrets, simhash, toxicity, urls, warc
+from textframe.llm import decontaminate, fingerprint, language, pieces, repeats, secrets, simhash, toxicity, urls, warc
 from textframe.llm._common import table
 
 
@@ -26,6 +26,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_fingerprints, op2_language, op3_toxicity, op4_decontaminate, op6_pieces, op7_secrets, op8_simhash, op9_warc, op10_urls)
+    named = (op1_fingerprints, op2_language, op3_toxicity, op4_decontaminate, op5_repeats, op6_pieces, op7_secrets, op8_simhash, op9_warc, op10_urls)
     return {f.__name__: f for f in named}
 
 
