@@ -140,10 +140,10 @@ def _suspects(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(rows)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), out: str = "spans") -> DataFrame:
     """(id_col, keep..., spans array<struct<kind, start, end>>) for each row of docs, in one narrow pass.
 
-    With keep, the named columns pass through, so that a caller need not join them back.
+    With keep, the named columns pass through, so that a caller need not join them back. out: the spans' name.
     """
     columns = [F.col(c).alias(f"_{i}") for i, c in enumerate((id_col, *keep))]
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
@@ -161,8 +161,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(spans, arrow)], [*batch.schema.names[:-1], "spans"])
 
-    out = docs.select(*columns, F.col(text_col).alias("_text")).mapInArrow(run, schema)
-    return out.toDF(id_col, *keep, "spans")
+    found = docs.select(*columns, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return found.toDF(id_col, *keep, out)
 
 
 def _joined(spans: Column) -> Column:
@@ -190,5 +190,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     ).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at")))
     length = F.char_length(text_col)
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, length)))
-    return scan(docs, id_col, text_col, keep).withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(F.col(text_col))).select(*docs.columns)
+    clean = F.aggregate("_spans_", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, length)))
+    return scan(docs, id_col, text_col, keep, "_spans_").withColumn(text_col, F.when(F.size("_spans_") > 0, clean).otherwise(F.col(text_col))).select(*docs.columns)
