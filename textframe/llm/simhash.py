@@ -239,5 +239,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = stored(near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "component_id"), "classes")
     kept = classes.filter(F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct()
     repeats = not classes.groupBy("_id").count().filter("count > 1").isEmpty()
-    out = docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]), "left_semi")
+    # the ids kept grow with the table, so texts are shuffled at any size
+    out = docs.join(kept.hint("merge"), docs[id_col].eqNullSafe(kept["_id"]), "left_semi")
     return out.dropDuplicates([id_col]) if repeats else out
