@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-TABLE_SIZE = 200_000
+TABLE_SIZE = 100_000
 LONGEST = 64
 DEFAULT_MODEL = "piece_bpe_32k.model"
 _CHUNKS = re.compile(r" *[^ ]+| +\Z")
