@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textframe.functions import classify, lexing
-from textframe.functions.escapes import null_to_space
+from textframe.functions.escapes import let, null_to_space
 from textframe.operators import levels as levels_
 from textframe.options import ReadOptions, input_path
 from textframe.plans.infer import SPARK_TYPES, ColumnInfo, code_storage, decide, profile
 from textframe.plans.order import POSITION, in_order
-from textframe.sources.header import Header, read_header, without_header
-from textframe.sources.records import records, text_files
+from textframe.sources.header import Header, find_header, without_header
+from textframe.sources.records import lines, records, text_files
 
 _NUMPY = {"float": "float32"}
 
@@ -33,7 +33,7 @@ class TextFrame:
 
     def __init__(self, header: Header, columns: list[ColumnInfo], cells: DataFrame | None, options: ReadOptions, spark: SparkSession):
         self.header, self.columns, self.options, self.spark = header, columns, options, spark
-        self._cells = cells  # position and raw cells t0, q0, v0, ...
+        self._cells = cells  # position and raw cells
         self._sizes: dict[int, int] = {}
         self._tables: dict[int, DataFrame] = {}
 
@@ -53,8 +53,7 @@ class TextFrame:
     @cached_property
     def _placed(self) -> DataFrame:
         """Position and values c0, c1, ..."""
-        values = [_value(i, c, self.options).alias(f"c{i}", metadata=c.metadata) for i, c in enumerate(self.columns)]
-        return self._cells.select(*POSITION, *values)
+        return values(self._cells, self.columns, self.options)
 
     def _named(self, frame: DataFrame, ordered: bool, columns: list[ColumnInfo] | None = None) -> DataFrame:
         frame = in_order(frame) if ordered else frame
@@ -183,49 +182,68 @@ def _numpy(column, info: ColumnInfo) -> np.ndarray:
     return column.to_numpy().astype(kind)
 
 
-def _text(i: int, options: ReadOptions) -> Column:
+def cell_string(token: Column, quoted: Column, options: ReadOptions) -> Column:
     """The text of a cell in a string column: numbers as if the column had been one of strings from its first cell."""
-    token, quoted = F.col(f"t{i}"), F.col(f"q{i}")
-    text = lexing.cell_text(token)
-    text = null_to_space(text) if options.convert_null_to_space else text
-    kind = classify.cell_class(token)
     empty = F.lit("") if options.empty_cell == "zero" else F.lit(None).cast("string")
-    number = F.coalesce(classify.integer_value(token).cast("string"), classify.float_text(classify.double_value(token)))
-    # letters, quotes or backslashes at the start tell most texts apart without the patterns of numbers
-    return F.when(quoted, text).when(token.rlike(r"\A[^\s0-9.?nN-]"), text).otherwise(F.when(kind == "integer", number).when(kind == "float", classify.float_text(classify.double_value(token))).when(kind == "missing", "nan").when(kind == "empty", empty).otherwise(text))
+
+    def text(cell: Column) -> Column:
+        return null_to_space(lexing.cell_text(cell)) if options.convert_null_to_space else lexing.cell_text(cell)
+
+    def other(cell: Column) -> Column:
+        kind, real = classify.cell_class(cell), classify.float_text(classify.double_value(cell))
+        number = F.coalesce(classify.integer_value(cell).cast("string"), real)
+        return F.when(kind == "integer", number).when(kind == "float", real).when(kind == "missing", "nan").when(kind == "empty", empty).otherwise(text(cell))
+
+    # what begins like no number is told apart without their patterns
+    return F.when(quoted | token.rlike(r"\A[^\s0-9.?nN-]"), text(token)).otherwise(let(token, other))
 
 
 def _value(i: int, info: ColumnInfo, options: ReadOptions) -> Column:
     """The value of a cell, in its column's type."""
     token = F.col(f"t{i}")
     if info.dtype == "string":
-        return F.col(f"v{i}")
+        return cell_string(token, F.lit(False) if options.number_only else F.col(f"q{i}"), options)
     kind = SPARK_TYPES[info.dtype]
     zero = F.lit(0) if options.empty_cell == "zero" or options.number_only else F.lit(None)
-    if options.number_only:
-        what = classify.number_only_class(token)
-        real = F.when(what == "missing", F.lit(float("nan"))).when(what == "float", classify.lenient_double(token)).otherwise(classify.integer_prefix(token).cast("double"))
-        whole = F.when(what == "float", classify.lenient_double(token).try_cast("bigint")).otherwise(classify.integer_prefix(token))
-    elif options.forced(info.name) == "num":
-        empty = token.rlike(classify.EMPTY) & ~F.col(f"q{i}")
-        real = F.when(empty, zero.cast("double")).otherwise(classify.lenient_double(lexing.cell_text(token)))
-        whole = F.when(empty, zero.cast("bigint")).otherwise(F.coalesce(classify.integer_value(token), real.try_cast("bigint")))
-    else:
-        real = F.coalesce(classify.double_value(token), F.when(token.rlike(classify.MISSING), F.lit(float("nan"))), zero.cast("double"))
-        whole = F.coalesce(classify.integer_value(token), classify.double_value(token).try_cast("bigint"), zero.cast("bigint"))
-    return real.cast("float") if info.dtype == "float" else whole.cast(kind)
-
-
-def raw_cells(found: DataFrame, n: int, options: ReadOptions) -> DataFrame:
-    """Position and, for column i, the raw cell t{i}, whether it is quoted q{i}, and its text v{i}."""
+    nan = F.lit(float("nan"))
+
+    def real(cell: Column) -> Column:
+        if options.number_only:
+            what = classify.number_only_class(cell)
+            return F.when(what == "missing", nan).when(what == "float", classify.lenient_double(cell)).otherwise(classify.integer_prefix(cell).cast("double"))
+        if forced:
+            return F.when(cell.rlike(classify.EMPTY), zero.cast("double")).otherwise(classify.lenient_double(lexing.cell_text(cell)))
+        return F.when(cell.rlike(classify.MISSING), nan).otherwise(zero.cast("double"))
+
+    def whole(cell: Column) -> Column:
+        """What is left are floats that are whole, missing digits, and numbers with something after them."""
+        if options.number_only:
+            return F.when(classify.number_only_class(cell) == "float", classify.lenient_double(cell).try_cast("bigint")).otherwise(classify.integer_prefix(cell))
+        if forced:
+            return F.when(cell.rlike(classify.EMPTY), zero.cast("bigint")).otherwise(F.coalesce(classify.integer_value(cell), classify.lenient_double(lexing.cell_text(cell)).try_cast("bigint")))
+        return F.coalesce(classify.integer_value(cell), classify.double_value(cell).try_cast("bigint"), zero.cast("bigint"))
+
+    forced = options.forced(info.name) == "num"
+    number = F.ltrim(token, F.lit(classify.BLANKS))
+    if info.dtype == "float":
+        return F.when(token.rlike(classify.NUMBER), number.try_cast("double")).otherwise(let(token, real)).cast("float")
+    return F.when(token.rlike(classify.SHORT), number.try_cast("bigint")).otherwise(let(token, whole)).cast(kind)
+
+
+def token_rows(found: DataFrame, n: int, options: ReadOptions) -> DataFrame:
+    """Position and the array `_t` of the n raw cells of each record."""
     cut = lexing.number_tokens(F.col("value")) if options.number_only else lexing.tokens(F.col("value"))
     place = F.concat(F.col("_file"), F.lit(", after byte "), F.col("_block").cast("string"))
-    rows = found.select(*POSITION, lexing.checked(cut, n, place).alias("_t"))
-    if options.number_only:
-        return rows.select(*POSITION, *(F.col("_t")[i].alias(f"t{i}") for i in range(n)))
-    rows = rows.select(*POSITION, *(F.col("_t")[i].alias(f"t{i}") for i in range(n)))
-    rows = rows.select("*", *(lexing.is_quoted(F.col(f"t{i}")).alias(f"q{i}") for i in range(n)))
-    return rows.select("*", *(_text(i, options).alias(f"v{i}") for i in range(n)))
+    return found.select(*POSITION, lexing.once(lexing.checked(cut, n, place)).alias("_t"))
+
+
+def values(rows: DataFrame, columns: list[ColumnInfo], options: ReadOptions, keep: tuple[str, ...] = POSITION) -> DataFrame:
+    """The values c0, c1, ... of the raw cells `_t`, in their columns' types."""
+    n = range(len(columns))
+    rows = rows.select(*keep, *(F.col("_t")[i].alias(f"t{i}") for i in n))
+    if not options.number_only:
+        rows = rows.select("*", *(lexing.is_quoted(F.col(f"t{i}")).alias(f"q{i}") for i in n))
+    return rows.select(*keep, *(_value(i, c, options).alias(f"c{i}", metadata=c.metadata) for i, c in enumerate(columns)))
 
 
 def read_csv(spark: SparkSession, path: str, **options: Any) -> TextFrame:
@@ -233,13 +251,13 @@ def read_csv(spark: SparkSession, path: str, **options: Any) -> TextFrame:
     chosen = ReadOptions(**options)
     found = records(spark, input_path(path), chosen)
     files = text_files(spark, input_path(path))
-    header = read_header(found, chosen.no_header, files)
+    header = find_header(lambda file: lines(spark, file), files, chosen)
     if not header.names:
         return TextFrame(header, [], None, chosen, spark)
     names = list(header.names)
-    cells = raw_cells(without_header(found, header, files), len(names), chosen)
-    columns = decide(names, profile(cells, names, chosen), chosen)
-    return TextFrame(header, columns, cells, chosen, spark)
+    rows = token_rows(without_header(found, header, files), len(names), chosen)
+    columns = decide(names, profile(rows, names, chosen, lambda t, q: cell_string(t, q, chosen)), chosen)
+    return TextFrame(header, columns, rows, chosen, spark)
 
 
 # one call for each form of delivery

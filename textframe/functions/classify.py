@@ -13,6 +13,9 @@ EMPTY = r"\A[ \t\n\x0B\f\r]*-?\z"
 #: The longest beginning that reads as a number, for columns forced to be numeric.
 _PREFIX = r"\A[ \t\n\x0B\f\r]*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
 _NUMBER_ONLY = r"\A[ \t\n\x0B\f\r]*(-?[0-9]*)([.eE])?"
+#: Whole numbers that any cast takes, and whatever is an integer or a float.
+SHORT = r"\A[ \t\n\x0B\f\r]*-?[0-9]{1,18}\z"
+NUMBER = r"\A[ \t\n\x0B\f\r]*-?(?:[0-9]+|[0-9]*\.[0-9]+|(?:[0-9]+\.?[0-9]*|\.[0-9]+)[eE][+-]?[0-9]+)\z"
 BLANKS = " \t\n\v\f\r"
 
 
@@ -24,29 +27,37 @@ def cell_class(cell: Column, quoted: Column | None = None) -> Column:
 
 def number_only_class(cell: Column) -> Column:
     """The class under number_only: what begins with digits and a point or exponent is a float, all else an integer."""
-    return F.when(cell.rlike(MISSING), "missing").when(F.regexp_extract(cell, _NUMBER_ONLY, 2) != "", "float").otherwise("integer")
+    slow = F.when(cell.rlike(MISSING), "missing").when(F.regexp_extract(cell, _NUMBER_ONLY, 2) != "", "float").otherwise("integer")
+    return F.when(cell.rlike(SHORT), "integer").otherwise(slow)
 
 
 def integer_value(cell: Column) -> Column:
-    """An integer cell as bigint; null if it does not fit."""
-    return F.ltrim(cell, F.lit(BLANKS)).try_cast("bigint")
+    """An integer cell as bigint; null if it does not fit, and for other cells.
+
+    Casts that fail are dear, so the patterns, which are cheap, come first.
+    """
+    text = F.ltrim(cell, F.lit(BLANKS))
+    return F.when(cell.rlike(SHORT), text.try_cast("bigint")).when(cell.rlike(INTEGER), text.try_cast("bigint"))
 
 
 def double_value(cell: Column) -> Column:
-    """An integer or float cell as double."""
-    return F.ltrim(cell, F.lit(BLANKS)).try_cast("double")
+    """An integer or float cell as double; null for other cells."""
+    return F.when(cell.rlike(NUMBER), F.ltrim(cell, F.lit(BLANKS)).try_cast("double"))
 
 
 def integer_prefix(cell: Column) -> Column:
-    """Digits at the start, as bigint; 0 if there are none."""
-    return F.coalesce(F.regexp_extract(cell, _NUMBER_ONLY, 1).try_cast("bigint"), F.lit(0).cast("bigint"))
+    """Digits at the start, as bigint; 0 if there are none, or too many."""
+    prefix = F.regexp_extract(cell, _NUMBER_ONLY, 1)
+    found = F.when(prefix.rlike("[0-9]"), prefix.try_cast("bigint"))
+    return F.coalesce(F.when(cell.rlike(SHORT), integer_value(cell)).otherwise(found), F.lit(0).cast("bigint"))
 
 
 def lenient_double(cell: Column) -> Column:
     """A number from any text: its longest numeric beginning, else 0; NaN for empty texts and those that begin with n or ?."""
-    prefix = F.regexp_extract(cell, _PREFIX, 1)
     text = F.ltrim(cell, F.lit(BLANKS))
-    return F.when((text == "") | text.rlike(r"\A[nN?]"), F.lit(float("nan"))).otherwise(F.coalesce(prefix.try_cast("double"), F.lit(0.0)))
+    first, prefix = F.substring(text, 1, 1), F.regexp_extract(cell, _PREFIX, 1)
+    found = F.when(cell.rlike(NUMBER), text.try_cast("double")).when(prefix != "", prefix.try_cast("double"))
+    return F.when(first.isin("", "n", "N", "?"), F.lit(float("nan"))).when(first.between("0", "9") | first.isin("-", "+", "."), F.coalesce(found, F.lit(0.0))).otherwise(0.0)
 
 
 def float_text(value: Column) -> Column:

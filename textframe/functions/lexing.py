@@ -66,3 +66,11 @@ def checked(found: Column, n: int, at: Column | None = None) -> Column:
     where = F.lit("") if at is None else F.concat(F.lit(" at "), at)
     message = F.concat(F.lit("a record has "), F.size(found).cast("string"), F.lit(f" cells, {n} are expected"), where)
     return F.when(F.size(found) == n, found).otherwise(F.raise_error(message).cast("array<string>"))
+
+
+def once(found: Column) -> Column:
+    """found, marked as not deterministic, so that it is computed once for each row that earlier filters leave.
+
+    Otherwise later filters would be moved below, and lex (and fail on) lines that were filtered out.
+    """
+    return F.when(F.rand(0) + 1 > 0.5, found)  # always so, which the optimizer can't tell

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textframe.functions import classify
 from textframe.options import ReadOptions, input_path
 from textframe.plans.order import numbered
-from textframe.sources.header import read_header, without_header
+from textframe.sources.header import find_header, without_header
 from textframe.sources.records import lines, text_files
 
 
@@ -39,7 +39,9 @@ def column_averages(spark: SparkSession, path: str, type_check: bool = False, **
     chosen = ReadOptions(**options)
     found = lines(spark, input_path(path))
     files = text_files(spark, input_path(path))
-    header = read_header(found.filter(~F.col("value").isin("", "\r")), chosen.no_header, files)
+    header = find_header(lambda file: lines(spark, file), files, chosen)
+    if not header.names:
+        return spark.range(1).select()
     rows = without_header(found, header, files)
     cells = F.split(F.replace("value", F.lit("\r"), F.lit("")), ",", -1)
     blank = F.col("value").isin("", "\r")

@@ -1,19 +1,20 @@
 """What each column means and the narrowest type that holds it.
 
-One aggregate over all columns gathers, for each, how many cells are strings, the bounds of
-its whole numbers, whether there are fractions, and, if limits are set, the number and
-length of distinct texts. The decision is taken on the driver from that one row.
+One aggregate gathers, for each column, how many cells are strings, the bounds of its whole
+numbers, whether there are fractions, and, if limits are set, the number and length of
+distinct texts. The decision is taken on the driver from one row for each column.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textframe.functions import classify
+from textframe.functions import classify, lexing
 from textframe.options import ReadOptions
 
 #: Rungs of whole numbers, narrowest first: name, least and greatest value, Spark's type.
@@ -46,7 +47,7 @@ def storage(least: int | None, greatest: int | None, fractions: bool) -> str:
     """The narrowest rung that holds all values; columns without a value are uint8."""
     if fractions:
         return "float"
-    low, high = least or 0 if least is None else least, greatest or 0 if greatest is None else greatest
+    low, high = least or 0, greatest or 0
     return next((name for name, a, b, _ in LADDER if a <= low and high <= b), "float")
 
 
@@ -59,51 +60,53 @@ def _whole(value: Column) -> Column:
     return (value == F.floor(value).cast("double")) & (F.abs(value) < 2.0**63)
 
 
-def profile(cells: DataFrame, names: list[str], options: ReadOptions) -> Row:
-    """One row of aggregates. cells: for column i, the raw text `t{i}`, whether it is quoted `q{i}`."""
-    wanted = []
-    for i, name in enumerate(names):
-        text, forced = F.col(f"t{i}"), options.forced(name)
-        if options.number_only:
-            kind = classify.number_only_class(text)
-            number = F.when(kind == "float", classify.lenient_double(text))
-            whole = F.when(kind == "integer", classify.integer_prefix(text))
-        elif forced == "num":
-            kind = F.when(text.rlike(classify.EMPTY) & ~F.col(f"q{i}"), "empty").when(text.rlike(classify.INTEGER), "integer").otherwise("float")
-            number = F.when(kind == "float", classify.lenient_double(text))
-            whole = F.when(kind == "integer", classify.integer_value(text))
-        else:
-            kind = classify.cell_class(text, F.col(f"q{i}"))
-            number = F.when(kind == "float", classify.double_value(text))
-            whole = F.when(kind == "integer", classify.integer_value(text))
-        value = F.coalesce(whole, F.when(_whole(number), number.try_cast("bigint")))
-        if not options.number_only and options.empty_cell == "zero":
-            value = F.coalesce(value, F.when(kind == "empty", F.lit(0).cast("bigint")))
-        fraction = (kind == "missing") | ((kind == "float") & ~F.coalesce(_whole(number), F.lit(False))) | ((kind == "integer") & whole.isNull())
-        wanted += [
-            F.count_if(kind == "string").alias(f"s{i}"),
-            F.min(value).alias(f"lo{i}"),
-            F.max(value).alias(f"hi{i}"),
-            F.max(F.coalesce(fraction, F.lit(False))).alias(f"f{i}"),
-        ]
-        if options.limits and not options.number_only:
-            shown = F.col(f"v{i}")
-            wanted.append(F.max(F.octet_length(shown)).alias(f"len{i}"))
-            if options.max_levels is not None:
-                wanted.append(F.count_distinct(shown).alias(f"d{i}"))
-    return cells.agg(F.count(F.lit(1)).alias("rows"), *wanted).first()
-
-
-def decide(names: list[str], row: Row, options: ReadOptions) -> list[ColumnInfo]:
-    """The meaning and storage of each column."""
+def profile(cells: DataFrame, names: list[str], options: ReadOptions, text: Callable[[Column, Column], Column]) -> dict[int, Row]:
+    """A row of aggregates for each column, by its place. cells: an array of raw cells `_t` for each record.
+
+    Cells are put below each other and grouped by their place, so the plan has one classifier and
+    a few sums however many columns there are; each task gives a row for each column.
+    text: the text of a raw cell, given the cell and whether it is quoted.
+    """
+    each = cells.select(F.posexplode("_t").alias("i", "t"))
+    cell = F.col("t")
+    kind, number, whole = F.col("kind"), F.col("number"), F.col("whole")
+    if options.number_only:
+        each = each.select("i", "t", classify.number_only_class(cell).alias("kind"))
+        real, integer = classify.lenient_double(cell), classify.integer_prefix(cell)
+    else:
+        each = each.withColumn("q", lexing.is_quoted(cell))
+        kinds = classify.cell_class(cell, F.col("q"))
+        real, integer = classify.double_value(cell), classify.integer_value(cell)
+        numeric = [i for i, name in enumerate(names) if options.forced(name) == "num"]
+        if numeric:
+            forced = F.when(cell.rlike(classify.EMPTY) & ~F.col("q"), "empty").when(cell.rlike(classify.INTEGER), "integer").otherwise("float")
+            kinds = F.when(F.col("i").isin(numeric), forced).otherwise(kinds)
+            real = F.when(F.col("i").isin(numeric), classify.lenient_double(lexing.cell_text(cell))).otherwise(real)
+        shown = [text(cell, F.col("q")).alias("shown")] if options.limits else []
+        each = each.select("i", "t", kinds.alias("kind"), *shown)
+    each = each.select("*", F.when(kind == "float", real).alias("number"), F.when(kind == "integer", integer).alias("whole"))
+    value = F.coalesce(whole, F.when(_whole(number), number.try_cast("bigint")))
+    if not options.number_only and options.empty_cell == "zero":
+        value = F.coalesce(value, F.when(kind == "empty", F.lit(0).cast("bigint")))
+    fraction = (kind == "missing") | ((kind == "float") & ~F.coalesce(_whole(number), F.lit(False))) | ((kind == "integer") & whole.isNull())
+    wanted = [F.count_if(kind == "string").alias("strings"), F.min(value).alias("low"), F.max(value).alias("high"), F.max(F.coalesce(fraction, F.lit(False))).alias("fractions")]
+    if options.limits and not options.number_only:
+        wanted.append(F.max(F.octet_length("shown")).alias("longest"))
+        if options.max_levels is not None:
+            wanted.append(F.count_distinct("shown").alias("levels"))
+    return {row["i"]: row for row in each.groupBy("i").agg(*wanted).collect()}
+
+
+def decide(names: list[str], rows: dict[int, Row], options: ReadOptions) -> list[ColumnInfo]:
+    """The meaning and storage of each column. Columns without a record are numeric, unless forced."""
     out = []
     for i, name in enumerate(names):
-        forced = options.forced(name)
-        meaning = forced or ("cat" if row[f"s{i}"] else "num")
-        if meaning == "cat" and options.limits and row["rows"]:
-            long = options.max_level_name_length is not None and (row[f"len{i}"] or 0) > options.max_level_name_length
-            many = options.max_levels is not None and (row[f"d{i}"] or 0) > options.max_levels
+        row, forced = rows.get(i), options.forced(name)
+        meaning = forced or ("cat" if row and row["strings"] else "num")
+        if meaning == "cat" and options.limits and row and not options.number_only:
+            long = options.max_level_name_length is not None and (row["longest"] or 0) > options.max_level_name_length
+            many = options.max_levels is not None and row["levels"] > options.max_levels
             meaning = "text" if long or many else "cat"
-        dtype = storage(row[f"lo{i}"], row[f"hi{i}"], bool(row[f"f{i}"])) if meaning == "num" else "string"
+        dtype = "string" if meaning != "num" else storage(row["low"], row["high"], row["fractions"]) if row else LADDER[0][0]
         out.append(ColumnInfo(name, meaning, dtype))
     return out

@@ -3,24 +3,29 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textframe.functions.escapes import DECODED
+from textframe.options import ReadOptions
+from textframe.plans.order import near
 
+#: Lines up to which a header may go on.
+LONGEST = 4096
 _ESCAPE = re.compile(rb"\\(x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[\s\S]|\Z)")
 
 
 @dataclass(frozen=True)
 class Header:
-    """names: of all columns. present: whether the first record is the header. file, row: where it stands; raw: as it stands."""
+    """names: of all columns. present: whether the first record is the header. block, row: where that record stands; raw: as it stands."""
 
     names: tuple[str, ...]
     present: bool
-    file: str | None = None
-    row: int | None = None
+    block: int = 0
+    row: int = -1
     raw: str | None = None
 
 
@@ -63,30 +68,65 @@ def decode_name(name: bytes) -> str:
     return _ESCAPE.sub(one, name).replace(b"\0", b" ").decode("utf-8", "replace")
 
 
-def read_header(found: DataFrame, no_header: bool = False, files: list[str] | None = None) -> Header:
-    """The header of records. The first record is one if its names differ from each other and no_header isn't set.
+def read_header(source: DataFrame, options: ReadOptions) -> Header:
+    """The header of a file's lines. The first record is one if its names differ from each other and no_header isn't set.
 
-    Only the first records are read, of several files those of the first by name. A file of blanks has no columns.
+    Only the first lines are read. A file of blanks has no columns.
     """
-    shown = found.filter(F.col("value").rlike(r"[^ \t\x0B\f\r\n]"))
-    if files and len(files) > 1:
-        shown = shown.filter(F.substring_index("_file", "/", -1) == min(files).rsplit("/", 1)[-1])
-    first = shown.select("_file", "_row", F.col("value").cast("binary").alias("value"), F.col("value").alias("raw")).limit(1).collect()
+    shown = source.filter(F.col("value").rlike(r"[^ \t\x0B\f\r\n]") | F.col("value").endswith("\\"))
+    first = shown.limit(1).collect()
     if not first:
         return Header((), True)
-    file, row, value, raw = first[0]
-    cells = [decode_name(x) for x in split_header(bytes(value).lstrip(b" \t\v\f\r\n"))]
-    if no_header or len(set(cells)) < len(cells):
-        return Header(tuple(f"col{i}" for i in range(len(cells))), False)
-    return Header(tuple(cells), True, file, row, raw)
-
-
-def without_header(found: DataFrame, header: Header, files: list[str] | None = None) -> DataFrame:
-    """Records without the header. Of several files, each may begin with the same header."""
-    if not header.present or header.row is None:
+    block, row, raw = first[0]["_block"], first[0]["_row"], first[0]["value"]
+    quoted = options.allow_quoted_newlines and not options.number_only
+    value = bytes(shown.limit(1).select(F.col("value").cast("binary")).collect()[0][0])
+    lines = 1
+    while quoted and _goes_on(value) and lines < LONGEST:
+        lines *= 4
+        later = source.filter(F.col("_row") >= row).limit(lines).select(F.col("value").cast("binary")).collect()
+        value = b""
+        for (line,) in later:
+            value = value + b"\n" + bytes(line) if value else bytes(line)
+            if not _goes_on(value):
+                break
+    cells = [decode_name(x) for x in split_header(value.lstrip(b" \t\v\f\r\n"))]
+    if options.no_header or len(set(cells)) < len(cells):
+        return Header(tuple(f"col{i}" for i in range(len(cells))), False, block, row)
+    return Header(tuple(cells), True, block, row, value.decode("utf-8", "surrogateescape") if lines > 1 else raw)
+
+
+def _goes_on(record: bytes) -> bool:
+    """Whether a record has an open quote or an escaped end."""
+    bare = re.sub(rb"\\[\s\S]", b"", record)
+    return bare.count(b'"') % 2 == 1 or bare.endswith(b"\\")
+
+
+def find_header(read: Callable[[str], DataFrame], files: list[str], options: ReadOptions) -> Header:
+    """The header of the first file, by name, that has one. read: gives the lines of a file."""
+    header = Header((), True)
+    for file in files:
+        header = read_header(read(file), options)
+        if header.names:
+            break
+    return header
+
+
+def without_header(found: DataFrame, header: Header, files: list[str]) -> DataFrame:
+    """Records without the header. Of several files, each may begin with the same header.
+
+    Where every line like the header begins a file, as is usual, they are told by their text;
+    only where that text is found elsewhere too, first lines are told by their place.
+    """
+    if len(files) <= 1:  # blank lines before the first record go too
+        first = header.row + 1 if header.present else header.row
+        return found.filter((F.col("_block") > header.block) | ((F.col("_block") == header.block) & (F.col("_row") >= first)))
+    if not header.present:
         return found
-    if not files or len(files) <= 1:
-        return found.filter(F.col("_row") != header.row)
-    first = found.filter("_block = 0").groupBy(F.col("_file").alias("_f")).agg(F.min("_row").alias("_first"))
-    same = (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_first")) & (F.col("value") == header.raw)
-    return found.join(first, same, "left_anti")
+    same = (F.col("value") == header.raw) & (F.col("_block") == 0)
+    at = F.min(F.when(same, F.col("_row")))
+    each = found.filter("_block = 0").groupBy("_file").agg(F.min("_row").alias("first"), at.alias("at"), F.count_if(same).alias("n"))
+    odd = each.filter("n > 1 or at > first")
+    if odd.isEmpty():
+        return found.filter(~same)
+    first = each.filter("at = first").select(F.col("_file").alias("_f"), F.col("first").alias("_first"))
+    return found.join(near(first, len(files)), (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_first")), "left_anti")

@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textframe.frame import _text, _value
+from textframe.frame import values
 from textframe.functions import lexing
 from textframe.options import ReadOptions, input_path
 from textframe.plans.infer import ColumnInfo
@@ -29,8 +29,5 @@ def read_stream(spark: SparkSession, path: str, columns: list[ColumnInfo], heade
         rows = rows.filter(F.rtrim("value", F.lit("\r")) != header)
     n = len(columns)
     cut = lexing.number_tokens(F.col("value")) if chosen.number_only else lexing.tokens(F.col("value"))
-    cells = rows.select(lexing.checked(cut, n).alias("_t")).select(*(F.col("_t")[i].alias(f"t{i}") for i in range(n)))
-    if not chosen.number_only:
-        cells = cells.select("*", *(lexing.is_quoted(F.col(f"t{i}")).alias(f"q{i}") for i in range(n)))
-        cells = cells.select("*", *(_text(i, chosen).alias(f"v{i}") for i in range(n)))
-    return cells.select(*(_value(i, c, chosen).alias(c.name, metadata=c.metadata) for i, c in enumerate(columns)))
+    cells = values(rows.select(lexing.once(lexing.checked(cut, n)).alias("_t")), columns, chosen, keep=())
+    return cells.select(*(F.col(f"c{i}").alias(c.name, metadata=c.metadata) for i, c in enumerate(columns)))
