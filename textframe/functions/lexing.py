@@ -10,7 +10,6 @@ from textframe.functions.escapes import from_latin1, let, to_latin1, unescape
 #: Fixed values of the format: a cell up to its comma; quotes open and close anywhere, a backslash takes the next character.
 _CELL = r'((?:[^",\\]++|\\[\s\S]|"(?:[^"\\]++|\\[\s\S])*+")*+),'
 _ESCAPE_OR_QUOTE = r'(\\[\s\S])|"'
-_ESCAPE_OR_CR = r"(\\[\s\S])|\r"
 _QUOTED_OR_CR = r'("(?:[^"\\]++|\\[\s\S])*+")|(\\[\s\S])|\r'
 
 
@@ -25,7 +24,7 @@ def tokens(record: Column) -> Column:
     def lexed(text: Column) -> Column:
         lone = F.length(F.regexp_extract(text, r"(\\*)\z", 1)) % 2 == 1
         cut = F.when(lone, F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
-        return let(cut, matched)
+        return let(F.when(cut.contains("\r"), F.regexp_replace(cut, _QUOTED_OR_CR, "$1$2")).otherwise(cut), matched)
 
     def matched(text: Column) -> Column:
         found = F.regexp_extract_all(F.concat(text, F.lit(",")), F.lit(_CELL), F.lit(1))
@@ -51,14 +50,12 @@ def is_quoted(token: Column) -> Column:
 def cell_text(token: Column) -> Column:
     """A raw cell without its quotes, its escapes decoded."""
 
-    def bare(text: Column) -> Column:
-        text = F.when(text.contains("\r"), F.when(text.contains('"'), F.regexp_replace(text, _QUOTED_OR_CR, "$1$2")).otherwise(F.regexp_replace(text, _ESCAPE_OR_CR, "$1"))).otherwise(text)
-        return F.regexp_replace(text, _ESCAPE_OR_QUOTE, "$1")
+    bare = lambda text: F.regexp_replace(text, _ESCAPE_OR_QUOTE, "$1")
 
     def slow(cell: Column) -> Column:
         return unescape(F.when(F.is_valid_utf8(cell), bare(cell)).otherwise(from_latin1(let(to_latin1(cell), bare))))
 
-    return F.when(token.contains('"') | token.contains("\\") | token.contains("\r"), let(token, slow)).otherwise(token)
+    return F.when(token.contains('"') | token.contains("\\"), let(token, slow)).otherwise(token)
 
 
 def checked(found: Column, n: int, at: Column | None = None) -> Column:
