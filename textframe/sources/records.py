@@ -26,9 +26,9 @@ _SCHEMA = "_file string, _block bigint, _row bigint, value binary, piece string"
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(_file, _block, _row, value) for each line; CR stays in the line, and bytes stay as they are."""
+    """(_file, _block, _row, value, _length) for each line; CR stays in the line, and bytes stay as they are. _length: the file's."""
     raw = spark.read.option("lineSep", "\n").text(path)
-    return raw.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), "value")
+    return raw.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), "value", F.col("_metadata.file_size").alias("_length"))
 
 
 def text_files(spark: SparkSession, path: str) -> list[str]:
@@ -49,12 +49,16 @@ def end_escaped(value: Column) -> Column:
 
 
 def splits(source: DataFrame) -> DataFrame:
-    """A row for each split: whether its first line goes on with a record, and whether that is in a quote."""
-    each = source.groupBy("_file", "_block").agg(F.sum(quote_count(F.col("value"))).alias("quotes"), F.max_by(end_escaped(F.col("value")), "_row").alias("tail"))
+    """A row for each split: whether its first line goes on with a record, whether that is in a quote, whether its
+    last line leaves a quote open (open) or has an escaped end (tail), and whether the file has a last line end (ended)."""
+    value = F.col("value")
+    size = F.sum(F.octet_length(value).cast("long") + 1).alias("size")
+    each = source.groupBy("_file", "_block", "_length").agg(F.sum(quote_count(value)).alias("quotes"), F.max_by(end_escaped(value), "_row").alias("tail"), size)
+    ended = F.sum("size").over(Window.partitionBy("_file")) == F.col("_length")
     order = Window.partitionBy("_file").orderBy("_block")
     before = F.coalesce(F.sum("quotes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = before % 2 == 1
-    return each.select("_file", "_block", inside.alias("inside"), (inside | F.coalesce(F.lag("tail").over(order), F.lit(False))).alias("goes_on"), ((before + F.col("quotes")) % 2 == 1).alias("open"))
+    return each.select("_file", "_block", inside.alias("inside"), (inside | F.coalesce(F.lag("tail").over(order), F.lit(False))).alias("goes_on"), ((before + F.col("quotes")) % 2 == 1).alias("open"), "tail", ended.alias("ended"))
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,24 +124,36 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def quoted_records(source: DataFrame) -> DataFrame:
     """(_file, _block, _row, value) for each record of lines, joined over quoted and escaped line ends."""
     known = stored(splits(source), "splits")
-    last = known.groupBy("_file").agg(F.max_by("open", "_block").alias("open")).filter("open").select("_file").limit(1).collect()
-    if last:
-        raise ValueError(f"the file ends with an open quote: {last[0][0]}")
+    last = known.groupBy("_file").agg(F.max_by(F.struct("open", "tail", "ended"), "_block").alias("x")).select("_file", "x.*")
+    wrong = last.filter("open").select("_file").limit(1).collect()
+    if wrong:
+        raise ValueError(f"the file ends with an open quote: {wrong[0][0]}")
     of = known.select(F.col("_file").alias("_f"), F.col("_block").alias("_b"), "inside", "goes_on")
     rows = source.join(near(of, known.count()), (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
     rows = rows.select("_file", "_block", "_row", F.col("value").cast("binary").alias("value"), quote_count(F.col("value")).alias("quotes"), end_escaped(F.col("value")).alias("tail"), "inside", "goes_on")
     if known.count() > 200_000:
         rows = rows.repartition("_file", "_block").sortWithinPartitions("_file", "_block", "_row")
     made = rows.mapInArrow(_assemble, _SCHEMA)
-    if known.filter("goes_on").isEmpty():  # no record crosses a split; at a file's end an escaped line end may be left
-        return made.select("_file", "_block", "_row", F.col("value").cast("string").alias("value"))
-    whole = made.filter("piece is null").select("_file", "_block", "_row", "value")
+    if known.filter("goes_on").isEmpty():  # no record crosses a split
+        found = made.select("_file", "_block", "_row", F.col("value").cast("string").alias("value"))
+    else:
+        found = made.filter("piece is null").select("_file", "_block", "_row", "value").union(_crossing(made)).withColumn("value", F.col("value").cast("string"))
+    kept = last.filter("tail and ended").select(F.col("_file").alias("_f"))
+    n = kept.count()
+    if not n:
+        return found
+    # a file's last line end is data if it is escaped; the line reader has taken it away
+    found = found.join(near(kept, n), F.col("_file") == F.col("_f"), "left")
+    return found.select("_file", "_block", "_row", F.when(F.col("_f").isNotNull() & end_escaped(F.col("value")), F.concat("value", F.lit("\n"))).otherwise(F.col("value")).alias("value"))
+
+
+def _crossing(made: DataFrame) -> DataFrame:
+    """Records that cross splits, joined from their pieces."""
     order = Window.partitionBy("_file").orderBy("_block", "_row")
     part = made.filter("piece is not null").withColumn("_group", F.count_if(F.col("piece") == "tail").over(order))
     joined = part.groupBy("_file", "_group").agg(F.array_sort(F.collect_list(F.struct("_block", "_row", "value"))).alias("x"))
     text = F.array_join(F.transform("x", lambda p: F.decode(p["value"], "ISO-8859-1")), "\n")
-    crossing = joined.select("_file", F.col("x")[0]["_block"].alias("_block"), F.col("x")[0]["_row"].alias("_row"), F.encode(text, "ISO-8859-1").alias("value"))
-    return whole.union(crossing).select("_file", "_block", "_row", F.col("value").cast("string").alias("value"))
+    return joined.select("_file", F.col("x")[0]["_block"].alias("_block"), F.col("x")[0]["_row"].alias("_row"), F.encode(text, "ISO-8859-1").alias("value"))
 
 
 def records(spark: SparkSession, path: str, options: ReadOptions) -> DataFrame:
