@@ -446,6 +446,12 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_of_links_that_differ_each_time(spark):
+    turned = F.rand() < 0.5
+    edges = spark.range(60).select(F.when(turned, F.col("id")).otherwise(F.col("id") + 1).alias("a"), F.col("id").alias("i")).select("a", (2 * F.col("i") + 1 - F.col("a")).alias("b"))
+    assert {r.root for r in graph.components(edges).collect()} == {0}
+
+
 def test_simhash_odd(odd, none):
     got = rows_of(simhash.report(odd))
     assert len(got) == odd.count()

@@ -16,7 +16,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     are written below spark.checkpoint.dir after each round. Links with a null, and those
     of a node with itself, are left out. No links give no rows.
     """
-    pairs = links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b")
+    # written first: links computed twice could differ from each other, and would not be the same both ways
+    pairs = stored(links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b"), "pairs")
     both = stored(pairs.union(pairs.select("b", "a")).distinct(), "links")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("root")), "labels")
     while True:
