@@ -45,17 +45,17 @@ def column_averages(spark: SparkSession, path: str, type_check: bool = False, **
     rows = without_header(found, header, files)
     cells = F.split(F.replace("value", F.lit("\r"), F.lit("")), ",", -1)
     blank = F.col("value").isin("", "\r")
-    rows = rows.select(F.when(~blank, cells).alias("_t"))
-    wanted = []
-    for i, name in enumerate(header.names):
-        text = F.get("_t", F.lit(i))
-        if type_check:
-            kind = classify.cell_class(text)
-            value = F.when(kind == "missing", F.lit(float("nan"))).when(kind == "empty", F.length(text).cast("double")).when(kind == "integer", classify.double_value(text)).otherwise(classify.lenient_double(text))
-        else:
-            value = classify.lenient_double(text)
-        wanted.append((F.sum(F.when(F.col("_t").isNotNull(), value)) / F.count(F.lit(1))).alias(name))
-    return rows.agg(*wanted)
+    # cells below each other: one expression however many columns, and a row for each column from each task
+    each = rows.select(F.posexplode_outer(F.when(~blank, cells)).alias("i", "t"))
+    text, kind = F.col("t"), F.col("kind")
+    if type_check:
+        each = each.select("i", "t", classify.cell_class(text).alias("kind"))
+        value = F.when(kind == "missing", F.lit(float("nan"))).when(kind == "empty", F.length(text).cast("double")).when(kind == "integer", classify.double_value(text)).otherwise(classify.lenient_double(text))
+    else:
+        value = classify.lenient_double(text)
+    sums = each.groupBy("i").agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
+    at, lines_read = F.col("i"), F.sum(F.when(F.coalesce(F.col("i"), F.lit(0)) == 0, F.col("n")))
+    return sums.agg(*((F.max(F.when(at == i, F.col("s"))) / lines_read).alias(name) for i, name in enumerate(header.names)))
 
 
 def baseline_newline_count(filename: str, **options: Any) -> int:

@@ -26,7 +26,7 @@ class Header:
     present: bool
     block: int = 0
     row: int = -1
-    raw: str | None = None
+    raw: bytes = b""
 
 
 def split_header(line: bytes) -> list[bytes]:
@@ -74,12 +74,11 @@ def read_header(source: DataFrame, options: ReadOptions) -> Header:
     Only the first lines are read. A file of blanks has no columns.
     """
     shown = source.filter(F.col("value").rlike(r"[^ \t\x0B\f\r\n]") | F.col("value").endswith("\\"))
-    first = shown.limit(1).collect()
+    first = shown.limit(1).select("_block", "_row", F.col("value").cast("binary")).collect()
     if not first:
         return Header((), True)
-    block, row, raw = first[0]["_block"], first[0]["_row"], first[0]["value"]
+    block, row, value = first[0][0], first[0][1], bytes(first[0][2])
     quoted = options.allow_quoted_newlines and not options.number_only
-    value = bytes(shown.limit(1).select(F.col("value").cast("binary")).collect()[0][0])
     lines = 1
     while quoted and _goes_on(value) and lines < LONGEST:
         lines *= 4
@@ -92,7 +91,7 @@ def read_header(source: DataFrame, options: ReadOptions) -> Header:
     cells = [decode_name(x) for x in split_header(value.lstrip(b" \t\v\f\r\n"))]
     if options.no_header or len(set(cells)) < len(cells):
         return Header(tuple(f"col{i}" for i in range(len(cells))), False, block, row)
-    return Header(tuple(cells), True, block, row, value.decode("utf-8", "surrogateescape") if lines > 1 else raw)
+    return Header(tuple(cells), True, block, row, value)
 
 
 def _goes_on(record: bytes) -> bool:
@@ -122,7 +121,7 @@ def without_header(found: DataFrame, header: Header, files: list[str]) -> DataFr
         return found.filter((F.col("_block") > header.block) | ((F.col("_block") == header.block) & (F.col("_row") >= first)))
     if not header.present:
         return found
-    same = (F.col("value") == header.raw) & (F.col("_block") == 0)
+    same = (F.col("value").cast("binary") == F.lit(bytearray(header.raw))) & (F.col("_block") == 0)
     at = F.min(F.when(same, F.col("_row")))
     each = found.filter("_block = 0").groupBy("_file").agg(F.min("_row").alias("first"), at.alias("at"), F.count_if(same).alias("n"))
     odd = each.filter("n > 1 or at > first")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textframe.options import ReadOptions
-from textframe.plans.order import near
+from textframe.plans.order import BROADCAST_SPLITS, near
 from textframe.plans.storage import stored
 
 _SCHEMA = "_file string, _block bigint, _row bigint, value binary, piece string"
@@ -125,25 +125,25 @@ def quoted_records(source: DataFrame) -> DataFrame:
     """(_file, _block, _row, value) for each record of lines, joined over quoted and escaped line ends."""
     known = stored(splits(source), "splits")
     last = known.groupBy("_file").agg(F.max_by(F.struct("open", "tail", "ended"), "_block").alias("x")).select("_file", "x.*")
-    wrong = last.filter("open").select("_file").limit(1).collect()
-    if wrong:
-        raise ValueError(f"the file ends with an open quote: {wrong[0][0]}")
+    ends = last.agg(F.min(F.when(F.col("open"), F.col("_file"))).alias("wrong"), F.count_if(F.col("tail") & F.col("ended")).alias("kept")).first()
+    if ends["wrong"]:
+        raise ValueError(f"the file ends with an open quote: {ends['wrong']}")
+    n, crosses = known.agg(F.count(F.lit(1)), F.max("goes_on")).first()
     of = known.select(F.col("_file").alias("_f"), F.col("_block").alias("_b"), "inside", "goes_on")
-    rows = source.join(near(of, known.count()), (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
+    rows = source.join(near(of, n), (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
     rows = rows.select("_file", "_block", "_row", F.col("value").cast("binary").alias("value"), quote_count(F.col("value")).alias("quotes"), end_escaped(F.col("value")).alias("tail"), "inside", "goes_on")
-    if known.count() > 200_000:
+    if n > BROADCAST_SPLITS:
         rows = rows.repartition("_file", "_block").sortWithinPartitions("_file", "_block", "_row")
     made = rows.mapInArrow(_assemble, _SCHEMA)
-    if known.filter("goes_on").isEmpty():  # no record crosses a split
+    if not crosses:
         found = made.select("_file", "_block", "_row", F.col("value").cast("string").alias("value"))
     else:
         found = made.filter("piece is null").select("_file", "_block", "_row", "value").union(_crossing(made)).withColumn("value", F.col("value").cast("string"))
-    kept = last.filter("tail and ended").select(F.col("_file").alias("_f"))
-    n = kept.count()
-    if not n:
+    if not ends["kept"]:
         return found
+    kept = last.filter("tail and ended").select(F.col("_file").alias("_f"))
     # a file's last line end is data if it is escaped; the line reader has taken it away
-    found = found.join(near(kept, n), F.col("_file") == F.col("_f"), "left")
+    found = found.join(near(kept, ends["kept"]), F.col("_file") == F.col("_f"), "left")
     return found.select("_file", "_block", "_row", F.when(F.col("_f").isNotNull() & end_escaped(F.col("value")), F.concat("value", F.lit("\n"))).otherwise(F.col("value")).alias("value"))
 
 
