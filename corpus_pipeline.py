@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the row with the smallest doc_id stays; of rows that repeat that id, one."""
+    """Of each group of near-duplicates one row stays, that with the smallest doc_id, at any ids."""
     return simhash.deduplicated(docs)
 
 

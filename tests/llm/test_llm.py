@@ -463,6 +463,16 @@ def test_simhash_odd(odd, none):
     assert kept.columns == odd.columns and len({r.doc_id for r in kept.collect()}) == kept.count()
 
 
+def test_deduplicated_keeps_every_group(spark):
+    """Ids that are null or stand for several texts: one row of each group stays, the same in each run."""
+    a, b, c, d = ("the quick brown fox jumps over a lazy dog", "eight more words that say something else entirely here", "una frase distinta que no se parece a otra", "noch ein ganz anderer Satz ohne jede Wiederholung")
+    rows = [(None, a, "1"), (None, b, "2"), (None, b, "3"), (7, c, "4"), (7, d, "5"), (8, c, "6"), (9, a, "7"), (9, a, "7"), (7, d, "8")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    runs = [sorted((r.text, r.doc_id, r.source) for r in simhash.deduplicated(frame.repartition(n)).collect()) for n in (1, 3, 5)]
+    assert [(t, i) for t, i, _ in runs[0]] == sorted([(a, 9), (b, None), (c, 7), (d, 7)])
+    assert runs[0] == runs[1] == runs[2]
+
+
 # 9
 
 

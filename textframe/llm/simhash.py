@@ -80,18 +80,19 @@ def fingerprint_batch(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp bigint) for each row of docs, in one narrow pass."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: tuple[Column, ...] = ()) -> DataFrame:
+    """(id_col, fp bigint, _0, _1...: bigint digests) for each row of docs, in one narrow pass."""
+    names = [f"_{i}" for i in range(len(digests))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from textframe.llm._common import parts
 
         for batch in parts(batches, "text", 1_000_000):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fingerprint_batch([x or b"" for x in texts]))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fingerprint_batch([x or b"" for x in texts])), *(batch.column(x) for x in names)], ["id", "fp", *names])
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(x, T.LongType()) for x in ("fp", *names))])
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(x.alias(n) for x, n in zip(digests, names, strict=True))).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def _segment(fp: Column, at: Column) -> Column:
@@ -214,15 +215,20 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.mapInArrow(_meet, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp bigint, component_id) for each row of docs; component_id is the smallest id reachable over links."""
-    prints = stored(fingerprints(docs, id_col, text_col), "simhash")
+def _grouped(docs: DataFrame, id_col: str, text_col: str, digests: tuple[Column, ...] = ()) -> DataFrame:
+    """The rows of fingerprints() with component_id, and root, which tells components apart where ids are null or repeat."""
+    prints = stored(fingerprints(docs, id_col, text_col, digests), "simhash")
     nodes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
     roots = components(links(nodes.select("fp")))
     nodes = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     classes = nodes.filter("root = fp or least is not null").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(classes, "root", "left").select(F.col("fp").alias("of"), "component_id")
-    return prints.join(named, prints["fp"] == named["of"]).select(id_col, "fp", "component_id")
+    named = nodes.join(classes, "root", "left").select(F.col("fp").alias("of"), "root", "component_id")
+    return prints.join(named, prints["fp"] == named["of"]).drop("of")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, fp bigint, component_id) for each row of docs; component_id is the smallest id reachable over links."""
+    return _grouped(docs, id_col, text_col).select(id_col, "fp", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -232,13 +238,24 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the row of each component's smallest id; of rows that repeat an id, one stays.
+    """One row of docs for each component: the smallest id's, null last; of rows that share it, the one with the smallest digests.
 
-    Only ids and fingerprints are grouped; texts join once, on the id.
+    Only ids, digests and fingerprints are grouped; texts join once, on the id and the digests
+    of the text and of the row, so ids that are null or repeat lose no component. Maps have no
+    digest: of rows that differ in them alone, any stays.
     """
-    classes = stored(near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "component_id"), "classes")
-    kept = classes.filter(F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct()
-    repeats = not classes.groupBy("_id").count().filter("count > 1").isEmpty()
-    # the ids kept grow with the table, so texts are shuffled at any size
-    out = docs.join(kept.hint("merge"), docs[id_col].eqNullSafe(kept["_id"]), "left_semi")
-    return out.dropDuplicates([id_col]) if repeats else out
+    hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    digests = (F.xxhash64(F.col(text_col)), F.xxhash64(*(F.col(f"`{x}`") for x in hashed)))
+    grouped = _grouped(docs, id_col, text_col, digests)
+    row = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("_id"), "_0", "_1")
+    rows = stored(grouped.select("root", row.alias("row")), "classes")
+    kept = rows.groupBy("root").agg(F.min("row").alias("row")).select("row._id", "row._0", "row._1")
+    repeats = not rows.groupBy("row").count().filter("count > 1").isEmpty()
+    # the rows kept grow with the table, so texts are shuffled at any size
+    same = docs[id_col].eqNullSafe(kept["_id"]) & (digests[0] == kept["_0"]) & (digests[1] == kept["_1"])
+    out = docs.join(kept.hint("merge"), same, "left_semi")
+    if not repeats:
+        return out
+    names = out.columns
+    marked = out.select(F.struct(*(F.col(f"`{x}`") for x in names)).alias("row"), F.col(id_col).alias("_id"), digests[0].alias("_0"), digests[1].alias("_1"))
+    return marked.dropDuplicates(["_id", "_0", "_1"]).select("row.*")
