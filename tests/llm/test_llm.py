@@ -176,6 +176,17 @@ def test_channel(docs):
     assert "idiot" in channel.words("you i d i 0 t !")
 
 
+def test_channel_reads_obfuscated_forms_whole(docs):
+    channel = toxicity.Channel(toxicity.character_counts(docs))
+    for written in ("i" * 20 + "d" * 20 + "iot", "i" * 50_000 + "d1ot", "iiddiioott", "i/d/i/o/t", "i\u200bd\u200bi\u200bo\u200bt", "i·d·1·o·t", "i=d=i=o=t", "i,d,i,o,t"):
+        assert channel.restore(written) == "idiot", written
+    assert "stupid" in channel.words("sstuupid") and "letter" in channel.words("a letter") and "cheese" in channel.words("wine/cheese")
+    for text, word in (("a m o r o n", "moron"), ("y o u i d i o t", "idiot"), ("y o u   1 d i 0 t", "idiot"), ("i . d . i . o . t", "idiot")):
+        assert word in channel.words(text), text
+    sentence = "you are the most stupid person that ever wrote here"
+    assert len(sentence) > 40 and "stupid" in channel.words(" ".join(sentence.replace(" ", "")))
+
+
 def test_character_counts(spark):
     got = toxicity.character_counts(spark.createDataFrame([("ab",), ("b c",), (None,), ("",)], "text string"))
     want = np.zeros(28**3, int)

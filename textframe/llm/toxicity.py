@@ -5,7 +5,12 @@ hidden sequence and the written token the observed one: each written character i
 of a lattice whose edges are the letters it may stand for (itself, its leetspeak letters,
 nothing for an inserted separator, nothing for a repeat). A character trigram model of the
 whole corpus, counted over every document, weighs the letters; the cheapest path (Viterbi)
-is the restored word. Tokens without anything to restore stand for themselves.
+is the restored word. Tokens without anything to restore stand for themselves. Tokens of
+any length are decoded whole. Between letters any character that is no letter or digit may
+be a separator. A token with a doubled letter is also read as written and with every letter
+once, and one with separators by its pieces. A run of spaced letters is read as one word,
+and cut into words where the character model puts their ends: all words on a path within
+MARGIN of the cheapest count.
 
 The restored words and their beginnings are hashed into 2**20 features. From a bounded
 sample of labelled rows (SAMPLE rows, those with the smallest hash of their id) come the
@@ -42,8 +47,12 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t",
 #: Characters that may be put between letters.
 BETWEEN = ".-_*~'"
 _STOPS = ".,;:?"
+#: Cost above that of the cheapest way to cut a run of letters, up to which another's words count.
+MARGIN = 6.0
 _COST_LEET, _COST_GAP, _COST_REPEAT, _COST_DOUBLE, _COST_EDGE, _COST_OTHER = 1.0, 0.5, 0.7, 3.0, 1.5, 4.0
-_TRIPLE = re.compile(r"([^\W\d_])\1\1")
+_DOUBLE = re.compile(r"([^\W\d_])\1")
+_REPEATS = re.compile(r"([^\W\d_])\1+")
+_PIECES = re.compile(r"[^\W_]+")
 _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -66,47 +75,65 @@ class Channel:
         pairs, single = triples.sum(0), triples.sum((0, 1))
         one = (single + 1) / (single.sum() + _SYMBOLS)
         two = (pairs + 20 * one) / (pairs.sum(1, keepdims=True) + 20)
+        self.first = (-np.log(two[0])).tolist()
         self.cost = (-np.log((triples + 20 * two[None]) / (triples.sum(2, keepdims=True) + 20))).tolist()
-        self.seen: dict[str, str] = {}
+        self.seen: dict[str, tuple[str, ...]] = {}
 
     def restore(self, token: str) -> str:
         """The word behind a token, in lower case; itself if there is nothing to restore."""
-        word = self.seen.get(token)
-        if word is None:
-            word = self._restore(token.lower())
-            if len(token) <= 40:
+        return self.readings(token)[0]
+
+    def readings(self, token: str) -> tuple[str, ...]:
+        """The word behind a token, and what else it may be read as."""
+        found = self.seen.get(token)
+        if found is None:
+            found = self._readings(token.lower())
+            if len(token) <= 40:  # longer ones are read each time anew
                 if len(self.seen) >= _CACHE:
                     self.seen.clear()
-                self.seen[token] = word
-        return word
+                self.seen[token] = found
+        return found
 
-    def _restore(self, token: str) -> str:
-        if token.isalpha() and not _TRIPLE.search(token):
-            return token
+    def _readings(self, token: str) -> tuple[str, ...]:
+        core = self._core(token)
+        if core.isalpha():
+            if not _DOUBLE.search(core):
+                return (core,)
+            found = [self.decode(core), core]
+        elif _LETTER.search(core):
+            found = [self.decode(core)]
+            pieces = _PIECES.findall(core)
+            if len(pieces) > 1:
+                # a piece is read like a token of its own; it has no separators
+                found += [x for piece in pieces if len(piece) > 2 for x in self.readings(piece)]
+        else:
+            return (core,)
+        found += [_REPEATS.sub(r"\1", x) for x in found]
+        return tuple(dict.fromkeys(found))
+
+    def _core(self, token: str) -> str:
+        """A token without what stands around its word."""
         core = token.rstrip(_STOPS)
-        if core.isalpha() and not _TRIPLE.search(core):
+        if core.isalpha():
             return core
         core = _OUTER.sub("", token)
-        odd = token[:1] in LEET and token[1:2] != token[:1] and not token[:1].isdigit()
-        if core.isalpha() and not odd and not _TRIPLE.search(core):
-            return core
-        if odd:
-            core = token[0] + _OUTER.sub("", token[1:])
-        if len(core) > 40 or not _LETTER.search(core):
-            return core
-        return self.decode(core)
+        if token[:1] in LEET and token[1:2] != token[:1] and not token[:1].isdigit():
+            return token[0] + _OUTER.sub("", token[1:])
+        return core
 
     def decode(self, core: str) -> str:
         """The cheapest path through the lattice of a token."""
-        paths = {(0, 0, ""): (0.0, "")}  # the last two symbols, the last written letter
+        # by the last two symbols and the last written letter; what is written is a chain from its end
+        paths: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
         last = len(core) - 1
+        often = len(_DOUBLE.findall(core)) > 1
         for at, char in enumerate(core):
             ways = [(x, _COST_LEET) for x in LEET.get(char, "")]
             if char.isalpha():
                 ways.append((char, 0.0))
             elif char.isdigit() or not ways:
                 ways.append((char, _COST_OTHER))
-            new: dict[tuple[int, int, str], tuple[float, str]] = {}
+            new: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
             for (a, b, was), (cost, out) in paths.items():
                 row = self.cost[a][b]
                 for letter, price in ways:
@@ -114,29 +141,76 @@ class Channel:
                     total = cost + price + row[s]
                     key = (b, s, letter)
                     if key not in new or new[key][0] > total:
-                        new[key] = (total, out + letter)
+                        new[key] = (total, (out, letter))
                 again = was and (char == was or was in LEET.get(char, ""))
-                drop = (_COST_REPEAT if core[at - 2 : at + 1] == char * 3 or core[at - 1 : at + 2] == char * 3 else _COST_DOUBLE) if again else _COST_GAP if char in BETWEEN else _COST_EDGE if at in (0, last) and not char.isalnum() else None
+                if again:
+                    drop = _COST_REPEAT if often or core[at - 2 : at + 1] == char * 3 or core[at - 1 : at + 2] == char * 3 else _COST_DOUBLE
+                elif char.isalnum():
+                    drop = None
+                else:
+                    drop = _COST_EDGE if at in (0, last) and char not in BETWEEN or char in LEET else _COST_GAP
                 if drop is not None and (((a, b, was) not in new) or new[a, b, was][0] > cost + drop):
                     new[a, b, was] = (cost + drop, out)
             paths = new
-        return min((cost + self.cost[a][b][0], out) for (a, b, _), (cost, out) in paths.items())[1]
+        _, chain = min(((cost + self.cost[a][b][0], out) for (a, b, _), (cost, out) in paths.items()), key=lambda x: x[0])
+        letters = []
+        while chain is not None:
+            chain, letter = chain
+            letters.append(letter)
+        return "".join(reversed(letters))
+
+    def cut(self, run: str) -> set[str]:
+        """The words of a run of letters on all paths through the lattice of their ends within MARGIN of the cheapest.
+
+        A word costs what its letters cost after a space, and its end; words longer than any
+        path can pay for are not followed further.
+        """
+        n = len(run)
+        s = [_symbol(x) for x in run]
+        cost = self.cost
+        # inner[i]: the letter at i after the two before it; ends[i]: an end after i letters
+        start = [self.first[x] for x in s]
+        second = [0.0] + [cost[0][s[i - 1]][s[i]] for i in range(1, n)]
+        inner = [0.0, 0.0] + [cost[s[i - 2]][s[i - 1]][s[i]] for i in range(2, n)]
+        ends = [0.0] + [cost[s[i - 2] if i > 1 else 0][s[i - 1]][0] for i in range(1, n + 1)]
+        alone = [cost[0][x][0] for x in s]
+        words: list[tuple[int, int, float]] = []
+        before = [0.0] + [math.inf] * n
+        # open words by where they start; all pay the same for later letters, so the dear ones cannot catch up
+        live: list[tuple[int, float]] = []
+        for i in range(n):
+            grown = [(j, c + (second[i] if j == i - 1 else inner[i])) for j, c in live]
+            grown.append((i, before[i] + start[i]))
+            least = min(c for _, c in grown)
+            live = [(j, c) for j, c in grown if j >= i - 1 or c <= least + MARGIN + 20]
+            for j, c in live:
+                done = c + (alone[i] if j == i else ends[i + 1])
+                words.append((j, i + 1, done - before[j]))
+                before[i + 1] = min(before[i + 1], done)
+        after = [math.inf] * n + [0.0]
+        for j, i, c in reversed(words):
+            after[j] = min(after[j], c + after[i])
+        return {run[j:i] for j, i, c in words if i - j > 2 and before[j] + c + after[i] <= before[n] + MARGIN}
 
     def words(self, text: str) -> set[str]:
-        """The restored words of a text; runs of three and more spaced letters are read as one token too."""
+        """The restored words of a text; runs of three and more spaced letters are read as one token and as several too."""
         tokens = set(text.split())
-        found = set(map(self.restore, tokens))
+        found = set()
+        for token in tokens:
+            found.update(self.readings(token))
         if sum(map((1).__eq__, map(len, tokens))) < 2:
             return found
         for match in _SPACED.finditer(text):
-            run = ""
-            for letter in [*match[0].split(), ""]:
-                if letter and (letter.isalpha() or letter in LEET):
-                    run += letter
-                else:
-                    if len(run) >= 3:
-                        found.add(self.restore(run))
-                    run = ""
+            # whole, without the separators, and where words are spaced wider, those
+            wide = re.split(r"\s{2,}", match[0])
+            for part in dict.fromkeys((match[0], *wide)):
+                run = "".join(x for x in part.split() if x.isalnum() or x in LEET)
+                if len(run) < 3:
+                    continue
+                for word in self.readings(run):
+                    found.add(word)
+                    if len(word) > 3:
+                        found.update(self.cut(word))
         return found
 
 
