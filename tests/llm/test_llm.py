@@ -304,6 +304,32 @@ def test_repeats_edges(spark):
     check_repeats(spark, rows, 1)
 
 
+@pytest.mark.parametrize("hot", [2, 40])
+def test_repeats_of_common_triggers(spark, hot):
+    """A short passage in changing surroundings: its triggers' strings are dealt over buckets, with the same results."""
+    rng = np.random.default_rng(5)
+    some = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    rows = [(i, some(60) + "<p class='licence note, all rights'>" + some(60) + ("A line that is long enough to be removed by itself." if i % 3 else "")) for i in range(120)]
+    rows += [(200 + i, rows[i][1][30:130] + some(20)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    wide = repeats.removals(docs, hot=hot, sampled=1)
+    want = repeats.removals(docs, hot=10**9)
+    strings = lambda df: {(r.doc, r.start + k) for r in df.collect() for k in range(r["count"])}
+    assert strings(wide) == strings(want)
+    found = repeats.hot_triggers(docs.selectExpr("doc_id id", "text"), hot, 1)
+    assert len(found)
+    raw = np.frombuffer("".join(x for _, x in rows).encode(), np.uint8)
+    ends = np.cumsum([0, *(len(x) for _, x in rows)])
+
+    def most(hot):
+        pairs = set(zip(*(x.tolist() for x in repeats.phrases(raw, ends, hot)[3:]), strict=True))
+        return np.unique([k for k, _ in pairs], return_counts=True)[1].max()
+
+    # a trigger that a part of the table has once only is not counted there
+    assert most(None) > 60 and most(found) < hot + 3
+    check_repeats(spark, rows)
+
+
 def test_repeats_odd(odd, none):
     assert repeats.report(odd).count() == odd.count() and repeats.report(none).count() == 0
 

@@ -19,7 +19,13 @@ needed in full, as all that is asked of equal suffixes is their smallest documen
 
 Within a part of a task, a phrase is sent only for its smallest id; the others are known to
 go. So a phrase with a third of all documents costs a row for each part, not for each
-document. Buckets are many (four for each shuffle partition) and no group is unbounded.
+document. Buckets are many (four for each shuffle partition).
+
+A short passage in changing surroundings gives one trigger a different phrase in each
+document. A trigger with about HOT phrases and more, as estimated from one row in SAMPLED,
+is not dealt as a whole: each of its strings is a phrase of its own, with the string's own
+hash for a key, so they spread over all buckets. Equal strings have equal triggers, so which
+triggers are dealt so changes no result.
 
 Ids must be whole numbers; a null id counts as the smallest. Null texts are empty. Rows
 that share an id do not remove from each other; rows that repeat an id with other texts
@@ -41,6 +47,9 @@ from textframe.llm._common import stored
 
 LENGTH = 50
 TRIGGER = 24
+#: Phrases of one trigger from which its strings are dealt one by one, and the rows of which one is looked at for that.
+HOT = 20_000
+SAMPLED = 8
 _PART = 2_000_000
 _NULL = -(2**63)
 _BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -72,8 +81,11 @@ class _Rolling:
         return _mixed((self.sums[end] - self.sums[start]) * self.back[start])
 
 
-def phrases(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The parse of texts laid end to end: (text, start, count, key, phrase hash), where count strings begin at start."""
+def phrases(raw: np.ndarray, offsets: np.ndarray, hot: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """The parse of texts laid end to end: (text, start, count, key, phrase hash), where count strings begin at start.
+
+    Phrases whose key is in `hot` are cut into their strings, under keys of their own.
+    """
     n, wide = len(raw), LENGTH - TRIGGER + 1
     if n < LENGTH:
         return tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
@@ -93,7 +105,15 @@ def phrases(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     count = np.diff(first, append=len(own))
     start, text, own = inside[first], text[first], own[first].astype(np.int64)
     key = hashes[own]
-    del hashes, one
+    del hashes
+    if hot is not None and len(hot) and (cut := np.isin(key, hot)).any():
+        many = np.where(cut, count, 1)
+        shift = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        text, start, own, key, cut, count = (np.repeat(x, many) for x in (text, start, own, key, cut, np.where(cut, 1, count)))
+        start = start + shift
+        key[cut] = one.of(start[cut], start[cut] + LENGTH)
+        own[cut] = start[cut]
+    del one
     two = _Rolling(raw, 1)
     whole = _mixed(two.of(start, start + count + LENGTH - 1) + (own - start).astype(np.uint64) * np.uint64(64) + count.astype(np.uint64))
     return text, start - offsets[text], count, key, whole
@@ -126,13 +146,34 @@ _FOUND = "doc bigint, at int, start int, count int, key bigint, sure boolean"
 _EDGES = "bucket int, key array<bigint>, doc array<bigint>, at array<int>, start array<int>, bytes array<binary>"
 
 
-def _parse(buckets: int):
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n): triggers with several different phrases within a part."""
+    from textframe.llm._common import parts, utf8
+
+    for batch in parts(batches, "text", _PART):
+        key, whole = phrases(*utf8(batch.column("text")))[3:]
+        order = np.lexsort((whole, key))
+        k, w = key[order], whole[order]
+        k = k[np.append(True, (k[1:] != k[:-1]) | (w[1:] != w[:-1]))] if len(k) else k
+        first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+        n = np.diff(first, append=len(k))
+        yield pa.RecordBatch.from_arrays([pa.array(k[first][n > 1].view(np.int64)), pa.array(n[n > 1])], ["key", "n"])
+
+
+def hot_triggers(rows: DataFrame, hot: int, sampled: int) -> np.ndarray:
+    """Triggers with about `hot` different phrases and more: no more than a row for so many phrases."""
+    some = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(sampled)) == 0)
+    sums = some.mapInArrow(_often, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") * sampled >= hot)
+    return np.sort(sums.select("key").toArrow().column("key").to_numpy().view(np.uint64))
+
+
+def _parse(buckets: int, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from textframe.llm._common import parts, utf8
 
         for batch in parts(batches, "text", _PART):
             raw, offsets = utf8(batch.column("text"))
-            text, start, count, key, whole = phrases(raw, offsets)
+            text, start, count, key, whole = phrases(raw, offsets, hot.value)
             if not len(text):
                 continue
             data = raw.tobytes()
@@ -240,16 +281,18 @@ def _suffixes(table: pa.Table) -> pa.Table:
     return pa.table({"doc": pa.array(a), "at": pa.array(b.astype(np.int32)), "start": pa.array(c.astype(np.int32)), "count": pa.array(e.astype(np.int32))})
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, sampled: int = SAMPLED) -> DataFrame:
     """(doc, at, start, count): `count` strings from byte `start` on begin in a document with a smaller id. doc is the id, at a text's check value."""
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = _rows(docs, id_col, text_col)
-    parsed = rows.mapInArrow(_parse(buckets), _PARSED)
+    shared = docs.sparkSession.sparkContext.broadcast(hot_triggers(rows, hot, sampled))
+    parsed = rows.mapInArrow(_parse(buckets, shared), _PARSED)
     found = stored(parsed.groupBy("bucket").applyInArrow(_compare, _FOUND), "phrases")
+    docs.sparkSession.sparkContext._jvm.System.gc()  # else the shuffled phrases stay on disk until the driver happens to collect its garbage
     edges = found.filter("not sure").groupBy("doc").agg(F.collect_list(F.struct("key", "at", "start", "count")).alias("edges"))
     cut = rows.join(edges, rows["id"] == edges["doc"]).select("id", "text", "edges").mapInArrow(_cut(buckets), _EDGES)
-    shared = stored(cut.groupBy("bucket").applyInArrow(_suffixes, "doc bigint, at int, start int, count int"), "suffixes")
-    return found.filter("sure").select("doc", "at", "start", "count").union(shared)
+    suffixes = stored(cut.groupBy("bucket").applyInArrow(_suffixes, "doc bigint, at int, start int, count int"), "suffixes")
+    return found.filter("sure").select("doc", "at", "start", "count").union(suffixes)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
