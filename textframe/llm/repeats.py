@@ -34,6 +34,8 @@ are told apart by a check value. Other columns are ignored. Empty tables give no
 
 from __future__ import annotations
 
+import gc
+import time
 import zlib
 from collections.abc import Iterator
 
@@ -288,7 +290,10 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     shared = docs.sparkSession.sparkContext.broadcast(hot_triggers(rows, hot, sampled))
     parsed = rows.mapInArrow(_parse(buckets, shared), _PARSED)
     found = stored(parsed.groupBy("bucket").applyInArrow(_compare, _FOUND), "phrases")
-    docs.sparkSession.sparkContext._jvm.System.gc()  # else the shuffled phrases stay on disk until the driver happens to collect its garbage
+    for _ in range(2):  # else the shuffled phrases stay on disk until the driver happens to collect its garbage
+        gc.collect()
+        docs.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(1)
     edges = found.filter("not sure").groupBy("doc").agg(F.collect_list(F.struct("key", "at", "start", "count")).alias("edges"))
     cut = rows.join(edges, rows["id"] == edges["doc"]).select("id", "text", "edges").mapInArrow(_cut(buckets), _EDGES)
     suffixes = stored(cut.groupBy("bucket").applyInArrow(_suffixes, "doc bigint, at int, start int, count int"), "suffixes")
