@@ -7,13 +7,16 @@ The difference of two digests adds up differences of codes, of length and of rat
 is bounded by LARGEST; likeness is one less the share of the bound that it reaches.
 
 Null texts count as empty. Empty texts, and those under three bytes, have equal buckets.
-Equal texts have equal fingerprints and likeness 1. Ids must be numbers. Documents are
-put in order by id, then text; a null id comes first; a repeated row is followed by its
-copy. Columns other than the two named are ignored.
+Equal texts have equal fingerprints and likeness 1. Ids must be whole numbers, of any size.
+Documents are put in order by id, then text; a null id comes first; a repeated row is
+followed by its copy. Ranges of rows are laid by id and the first BEGIN bytes of the text,
+so an id that many rows share is split too. An empty table gives no rows. Columns other
+than the two named are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +27,8 @@ from pyspark.sql import types as T
 
 BUCKETS = 128
 LARGEST = 256
+#: Bytes of a text that tell rows of one id apart when ranges are laid.
+BEGIN = 64
 _HEAD = 3
 _WEIGHT = np.array([0, 1, 2, 4])
 
@@ -70,34 +75,46 @@ def _unhex(column: pa.Array) -> np.ndarray:
     return np.frombuffer(bytes.fromhex("".join(column.to_pylist())), np.uint8).reshape(len(column), -1)
 
 
+def _starts(docs: DataFrame, id_col: str, text_col: str, n: int) -> list[tuple[int, int, bytes]]:
+    """Keys of rows, evenly spread, where ranges begin: (0 for a null id, id, first BEGIN bytes of the text).
+
+    They are those of the 16 n rows with the smallest hashes, so what reaches the driver is bounded.
+    """
+    keys = docs.select(F.col(id_col).alias("id"), F.substring(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 1, BEGIN).alias("begin"))
+    some = keys.orderBy(F.xxhash64("id", "begin", F.monotonically_increasing_id())).limit(16 * n).collect()
+    found = sorted((int(i is not None), i or 0, bytes(x)) for i, x in some)
+    return sorted({found[len(found) * i // n] for i in range(1, n)}) if found else []
+
+
 def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(bucket, again, id, text, fingerprint): ranges of ids, each followed by the first rows of the next (again = 1).
+    """(bucket, again, id, text, fingerprint): ranges of rows by id and text, each followed by the first row of the next (again = 1).
 
-    The ranges begin at ids of the table itself, so the first row of each is known beforehand.
+    The ranges begin at keys of rows of the table, so which rows may be the first of one is
+    known beforehand; of several with one key each part of a task sends the smallest. The last range is
+    followed by the first row of all, which begins a range of its own.
     """
     n = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = [i / n for i in range(1, n)]
-    least, most, starts, nulls = docs.agg(F.min(id_col), F.max(id_col), F.percentile_approx(id_col, shares, 10 * n), F.count_if(F.col(id_col).isNull())).first()
-    starts = sorted({least, *(starts or [])} - {None})
-    bounds = np.array(starts)
+    first = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", F.substring(F.col("text").cast("binary"), 1, BEGIN).alias("begin"))).alias("x")).first()[0]
+    starts = sorted({*_starts(docs, id_col, text_col, n), (int(first["known"]), first["id"] or 0, bytes(first["begin"]))}) if first else []
     last = max(0, len(starts) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from textframe.llm._common import parts, utf8
 
         for batch in parts(batches, "text"):
-            ids = batch.column("id")
-            void = ids.is_null().to_numpy(zero_copy_only=False)
-            values = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            bucket = np.where(void, 0, np.maximum(0, np.searchsorted(bounds, values, "right") - 1)) if len(bounds) else np.zeros(len(values), np.int64)
-            first = void if nulls else np.zeros(len(values), bool)
-            head = first | ((~void & (bounds[bucket] == values) & ((bucket > 0) | (not nulls))) if len(bounds) else False)
-            take = np.concatenate([np.arange(len(values)), np.flatnonzero(head)])
-            place = np.concatenate([bucket, np.where(bucket[head] > 0, bucket[head] - 1, last)])
-            again = np.repeat([0, 1], [len(values), int(head.sum())]).astype(np.int8)
-            prints = _hex(digest(*utf8(batch.column("text"))))
-            take = pa.array(take)
-            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(again), ids.take(take), batch.column("text").take(take), prints.take(take)], ["bucket", "again", "id", "text", "fingerprint"])
+            raw, offsets = utf8(batch.column("text"))
+            keys = [(int(i is not None), i or 0, raw[a : min(a + BEGIN, b)].tobytes()) for i, a, b in zip(batch.column("id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            bucket = np.array([bisect_right(starts, x) - 1 for x in keys], np.int32)
+            head: dict[int, int] = {}
+            for i in [i for i, (k, x) in enumerate(zip(bucket.tolist(), keys, strict=True)) if starts[k] == x]:
+                k = int(bucket[i])
+                if k not in head or raw[offsets[i] : offsets[i + 1]].tobytes() < raw[offsets[head[k]] : offsets[head[k] + 1]].tobytes():
+                    head[k] = i
+            take = pa.array([*range(len(keys)), *head.values()])
+            place = np.concatenate([bucket, np.array([k - 1 if k else last for k in head], np.int32)])
+            again = np.repeat([0, 1], [len(keys), len(head)]).astype(np.int8)
+            prints = _hex(digest(raw, offsets))
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(again), batch.column("id").take(take), batch.column("text").take(take), prints.take(take)], ["bucket", "again", "id", "text", "fingerprint"])
 
     schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("again", T.ByteType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("text", T.StringType()), T.StructField("fingerprint", T.StringType())])
     return docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(run, schema)
