@@ -1,4 +1,4 @@
-"""Secret scans with structural confirmation.
+r"""Secret scans with structural confirmation.
 
 Three base patterns (assign, access, hex) report what looks like a credential. The
 structural kinds report only what decodes: a run of base64 or hex characters is
@@ -6,11 +6,17 @@ decoded, and reported if the bytes are a whole key encoding whose nested lengths
 add up (DER, or the length-prefixed fields of an SSH key); a dotted token is reported
 if its first two parts decode to JSON objects and the first names an algorithm.
 
+Any dotted pair of base64url runs is tried as a token, and its header decides. Base64 may
+be wrapped in lines, whose ends may be written as escapes (`\n` in a JSON string); headers
+before a PEM body are read over, and if they say that the key is encrypted, its length
+must be one of whole cipher blocks, as there is nothing else to parse.
+
 A cheap look at the bytes of a whole batch finds the few rows that can hold a match;
-only those are read with the patterns, each as a whole text. Positions are code points,
+only those are read with the patterns, each as a whole text. Rows are kept apart from each
+other there, so no row changes what is found in the next. Positions are code points,
 ends exclusive.
 
-Nulls count as empty texts, which have no span. Rows are neither merged nor dropped.
+Nulls count as empty texts, which have no span. Texts of any length are read whole. Rows are neither merged nor dropped.
 Only the two named columns are read; any others are ignored.
 """
 
@@ -28,20 +34,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textframe.llm._common import fresh
+
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "token", "pem", "key64", "keyhex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
-_B64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+#: A JSON object in base64 begins with one of these: its brace, or white space before it.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([eICD][A-Za-z0-9_-]{3,})\.([A-Za-z0-9_-]{2,})(?:\.([A-Za-z0-9_-]*))?")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----)[\x20-\x7e\s])*)-----END \1-----")
+_PEM_HEAD = re.compile(r"[A-Za-z0-9-]+: [^\r\n]*\Z")
+_END = r"(?:\\r)?\\n|\r?\n"
+_ENDS = re.compile(_END)
+_B64 = re.compile(rf"[A-Za-z0-9+/_-]{{40,}}(?:(?:{_END})[ \t]*[A-Za-z0-9+/_-]+)*={{0,2}}")
+_LINE = re.compile(r"(?<!\\)[A-Za-z0-9+/_-]+={0,2}")
 _HEXES = re.compile(r"[0-9A-Fa-f]{40,}")
 _RUN = 32
 _CLASS = np.zeros(256, bool)
 _CLASS[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")] = True
-_MARKS = (b"AKIA", b"eyJ", b"-----BEGIN ")
-_WORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
+_MARKS = re.compile(rb"AKIA|-----BEGIN |[eICD][A-Za-z0-9_-]{3,}\.[A-Za-z0-9_-]{2}")
+_WORDS = re.compile(rb"passw|secret|token|api_?key")
 
 
 def _unbase64(run: str) -> bytes:
@@ -99,6 +112,8 @@ def is_key(data: bytes) -> bool:
     if len(data) < 24 or data[0] != 0x30 or not _nested(data):
         return False
     head = data[1] & 0x7F if data[1] & 0x80 else 0
+    if len(data) != 2 + head + (int.from_bytes(data[2 : 2 + head], "big") if head else data[1]):
+        return False  # two keys after each other are not one
     inner = data[2 + head : 4 + head]
     return len(inner) == 2 and inner[0] in (0x02, 0x30)
 
@@ -111,33 +126,55 @@ def _is_signed(header: str, payload: str) -> bool:
     return isinstance(head, dict) and isinstance(body, dict) and isinstance(head.get("alg"), str)
 
 
+def _is_pem(body: str) -> bool:
+    lines = [x.strip() for x in _ENDS.split(body)]
+    heads = [x for x in lines if _PEM_HEAD.match(x)]
+    data = _unbase64("".join(x for x in lines if not _PEM_HEAD.match(x)))
+    if any(x.startswith("Proc-Type:") and x.endswith("ENCRYPTED") for x in heads):
+        return len(data) >= 48 and len(data) % 8 == 0
+    return is_key(data)
+
+
+def _keys64(text: str) -> Iterator[tuple[str, int, int]]:
+    """Keys in base64, wrapped or not. Wrapped lines are equally long but for the last; where they are no key together, each may be one."""
+    for m in _B64.finditer(text):
+        lines, i = list(_LINE.finditer(text, *m.span())), 0
+        while i < len(lines):
+            wide = len(lines[i][0])
+            j = next((k for k in range(i + 1, len(lines)) if len(lines[k][0]) != wide), len(lines))
+            ends = [j + 1, j] if j < len(lines) and len(lines[j][0]) < wide else [j]
+            end = next((k for k in ends if wide >= 40 and is_key(_unbase64("".join(x[0] for x in lines[i:k])))), 0)
+            if end:
+                yield "key64", lines[i].start(), lines[end - 1].end()
+            elif wide >= 40:
+                yield from (("key64", *x.span()) for x in lines[i:j] if is_key(_unbase64(x[0])))
+            i = end or j
+
+
 def spans_of(text: str) -> list[tuple[str, int, int]]:
     """All spans of one whole text, by start, then kind."""
     found = [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
     found += [("access", *m.span()) for m in _ACCESS.finditer(text) if len(m[0]) >= 16]
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
     found += [("token", *m.span()) for m in _TOKEN.finditer(text) if _is_signed(m[1], m[2])]
-    found += [("pem", *m.span()) for m in _PEM.finditer(text) if is_key(_unbase64("".join(m[2].split())))]
-    found += [("key64", *m.span()) for m in _B64.finditer(text) if is_key(_unbase64(m[0]))]
+    found += [("pem", *m.span()) for m in _PEM.finditer(text) if _is_pem(m[2])]
+    found += _keys64(text)
     found += [("keyhex", *m.span()) for m in _HEXES.finditer(text) if len(m[0]) % 2 == 0 and is_key(bytes.fromhex(m[0]))]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
 def _suspects(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Rows of a batch that can hold a match: a long run of key characters, or a word that begins one."""
-    stops = np.concatenate([[-1], np.flatnonzero(~_CLASS[raw]), [len(raw)]])
-    at = (stops[:-1] + 1)[np.diff(stops) > _RUN]
-    ends = at + _RUN - 1  # a run may begin in the row before
-    data = raw.tobytes()
-    low = data.lower()
-    marks = [m.start() for x in _MARKS for m in re.finditer(x, data)] + [m.start() for x in _WORDS for m in re.finditer(x, low)]
-    rows = np.zeros(len(offsets) - 1, bool)
-    for a, b in ((at, stops[1:][np.diff(stops) > _RUN] - 1), (np.array(marks, np.int64), np.array(marks, np.int64)), (ends, ends)):
-        first, last = np.searchsorted(offsets, a, "right") - 1, np.searchsorted(offsets, b, "right") - 1
-        rows[first[first < len(rows)]] = True
-        for x, y in zip(first[last > first], last[last > first], strict=True):
-            rows[x : y + 1] = True
-    return np.flatnonzero(rows)
+    n = len(offsets) - 1
+    # a byte that no pattern takes stands after each row
+    apart = np.full(len(raw) + n, 0xFF, np.uint8)
+    apart[np.arange(len(raw)) + np.repeat(np.arange(n), np.diff(offsets))] = raw
+    ends = offsets[1:] + np.arange(n)
+    stops = np.append(-1, np.flatnonzero(~_CLASS[apart]))
+    runs = stops[:-1][np.diff(stops) > _RUN] + 1
+    data = apart.tobytes()
+    marks = [m.start() for m in _MARKS.finditer(data)] + [m.start() for m in _WORDS.finditer(data.lower())]
+    return np.unique(np.searchsorted(ends, np.concatenate([runs, np.array(marks, np.int64)]), "right"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), out: str = "spans") -> DataFrame:
@@ -183,12 +220,12 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """docs with each maximal run of overlapping spans replaced by mark; columns and their order stay."""
-    keep = tuple(c for c in docs.columns if c != id_col)
+    keep, spans = tuple(c for c in docs.columns if c != id_col), fresh(docs, "spans")
     step = lambda acc, s: F.when(
         s["start"] >= acc["at"],
         F.struct(F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"), s["end"].alias("at")),
     ).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at")))
     length = F.char_length(text_col)
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    clean = F.aggregate("_spans_", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, length)))
-    return scan(docs, id_col, text_col, keep, "_spans_").withColumn(text_col, F.when(F.size("_spans_") > 0, clean).otherwise(F.col(text_col))).select(*docs.columns)
+    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, length)))
+    return scan(docs, id_col, text_col, keep, spans).withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(F.col(text_col))).select(*docs.columns)
