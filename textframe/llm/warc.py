@@ -1,22 +1,27 @@
 """Web archives (WARC 1.1) compressed record by record with a dictionary of their own.
 
-Each task writes one archive. It builds a Zstandard dictionary from the first records it
-gets (at most SAMPLE_BYTES of them, a bound that does not grow with the archive), puts it
-into a leading skippable frame, and compresses every record alone against it, so a reader
-can begin at any record. Archives go through Spark's own text sink, so they are committed
-like any other output and need no local disk: a row is a record's frame and the head of a
-one-byte skippable frame, whose byte is the line end that the sink adds. Files keep the
-sink's part names.
+Each task writes archives of a bounded size. For each it builds a Zstandard dictionary from
+the first records (at most SAMPLE_BYTES of them, a bound that does not grow with the
+archive), puts it into a leading skippable frame, and compresses every record alone against
+it, so a reader can begin at any record. Archives go through Spark's own text sink, so they
+are committed like any other output and need no local disk: a row is the frames of records
+of about ROW_BYTES, and the head of a one-byte skippable frame, whose byte is the line end
+that the sink adds. The sink begins a new file after ROWS rows, and so does the writer with
+a new dictionary, so an archive has at most ROWS x (ROW_BYTES + one record) bytes, and a
+reader's task holds one at a time. Files keep the sink's part names.
 
 Of records with equal payloads of at least LEAST bytes the one with the smallest page_id
 is a response and the others are revisits that refer to it, without a payload of their
 own; shorter payloads are always responses. Only payload digests are compared between
-records, never payloads; the table of repeated digests is broadcast while it is small.
+records, never payloads. The table of repeated digests is broadcast while its measured bytes
+are few; beyond that, the digests that many pages share still are (there are few of them
+by their bound), so no payload of a hot digest is shuffled.
 
 Null payloads count as empty, null urls are left out, null ids are never referred to (if all
-of a group are null, all are responses). Rows that share the smallest id of their group
-are all responses. An empty table writes no record and reads back empty. Other columns
-are ignored.
+of a group are null, all are responses) and have a record id of their own form, apart from an
+empty id. Rows that share the smallest id of their group are all responses. A record of any
+length up to 2 GB is one frame. An empty table writes no record and reads back empty.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,30 +35,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textframe.llm._common import shared_dir, stored
+from textframe.llm._common import BROADCAST_BYTES, fits, hot_keys, shared_dir, spread_join, stored
 
 LEAST = 100
 SAMPLE_BYTES = 1 << 20
 DICTIONARY_BYTES = 32 << 10
-BROADCAST_ROWS = 200_000
+ROW_BYTES = 256 << 10
+ROWS = 256
 DATE = "1970-01-01T00:00:00Z"
 #: Fixed values of the formats.
 _DICTIONARY, _PADDING = 0x184D2A5D, 0x184D2A50
 _SKIPPABLE = range(0x184D2A50, 0x184D2A60)
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_ID = "urn:page:"
+_ID, _NO_ID = "urn:page:", "urn:page-without-id"
 _CHUNK = 1 << 16
 
 
-def classify(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST) -> DataFrame:
+def classify(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST, broadcast: int = BROADCAST_BYTES) -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, refers_to) for each row; refers_to is null for responses."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
-    repeated = rows.filter(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("digest")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    repeated = stored(repeated.filter("n > 1 and first is not null").select("digest", "first"), "payloads")
-    few = repeated.count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(repeated) if few else repeated, rows["payload_digest"] == repeated["digest"], "left")
+    repeated = rows.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    repeated = stored(repeated.filter("n > 1 and first is not null"), "payloads")
+    firsts = repeated.select("payload_digest", "first")
+    if fits(firsts, broadcast):
+        rows = rows.join(F.broadcast(firsts), "payload_digest", "left")
+    else:
+        rows = spread_join(rows, firsts, "payload_digest", hot_keys(repeated, "payload_digest"))
     other = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", other.alias("refers_to"))
 
@@ -63,7 +72,7 @@ def record(page_id: str | None, url: str | None, payload: bytes, size: int, dige
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     if refers_to is None:
         block += payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{_ID}{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{_NO_ID if page_id is None else _ID + page_id}>", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
@@ -82,47 +91,94 @@ def _dictionary(samples: list[bytes]):
         return zstandard.ZstdCompressionDict(b"".join(samples)[:DICTIONARY_BYTES].ljust(8, b"\0"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
-
-    from textframe.llm._common import parts
-
-    pad = struct.pack("<II", _PADDING, 1)
-    waiting: list[bytes] = []
-    size, press = 0, None
-
-    def begin() -> list[bytes]:
-        nonlocal press
-        sample, used = [], 0
-        for x in waiting:  # what one record adds is bounded too
-            sample.append(x[: 64 << 10])
-            used += len(sample[-1])
-            if used >= SAMPLE_BYTES:
-                break
-        d = _dictionary(sample)
-        press = zstandard.ZstdCompressor(dict_data=d, level=3, write_checksum=True)
-        content = d.as_bytes()
-        return [struct.pack("<II", _DICTIONARY, len(content)) + content + pad]
-
-    for batch in parts(batches, "payload", 1_000_000):
-        for row in batch.to_pylist():
-            waiting.append(record(*row.values()))
-            size += len(waiting[-1])
-        if press is None and size < SAMPLE_BYTES:
-            continue
-        out = begin() if press is None else []
-        yield pa.RecordBatch.from_arrays([pa.array(out + [press.compress(x) + pad for x in waiting], pa.binary())], ["frame"])
-        waiting = []
-    if waiting:
-        out = begin() if press is None else []
-        yield pa.RecordBatch.from_arrays([pa.array(out + [press.compress(x) + pad for x in waiting], pa.binary())], ["frame"])
-
-
-def write(records: DataFrame, path: str) -> None:
-    """Writes what `classify` gives as archives below path, one for each partition."""
+def _dictionary_for(records: list[bytes]):
+    sample, used = [], 0
+    for x in records:  # what one record adds is bounded too
+        sample.append(x[: 64 << 10])
+        used += len(sample[-1])
+        if used >= SAMPLE_BYTES:
+            break
+    return _dictionary(sample)
+
+
+class _Archives:
+    """Records in, rows of frames out; a new dictionary after each `rows` rows."""
+
+    def __init__(self, rows: int):
+        self.most, self.n, self.press = rows, 0, None
+        self.waiting: list[bytes] = []
+        self.row: list[bytes] = []
+        self.size = 0
+        self.out: list[bytes] = []
+
+    def add(self, record: bytes) -> None:
+        if self.press:
+            return self._write(record)
+        self.waiting.append(record)
+        self.size += len(record)
+        if self.size >= SAMPLE_BYTES:
+            self.begin()
+
+    def begin(self) -> None:
+        """A new archive, with the records that have waited for its dictionary."""
+        import zstandard
+
+        words = _dictionary_for(self.waiting)
+        self.press = zstandard.ZstdCompressor(dict_data=words, level=3, write_checksum=True)
+        content = words.as_bytes()
+        self.row = [struct.pack("<II", _DICTIONARY, len(content)) + content]
+        self.end_row()
+        waiting, self.waiting = self.waiting, []
+        for x in waiting:
+            self.add(x)
+
+    def _write(self, record: bytes) -> None:
+        self.row.append(self.press.compress(record))
+        self.size += len(self.row[-1])
+        if self.size >= ROW_BYTES:
+            self.end_row()
+
+    def end_row(self) -> None:
+        self.out.append(b"".join(self.row) + struct.pack("<II", _PADDING, 1))
+        self.row, self.size, self.n = [], 0, self.n + 1
+        if self.n == self.most:
+            self.n, self.press = 0, None
+
+    def finish(self) -> None:
+        if self.waiting:
+            self.begin()
+        if self.waiting:  # those that were left when an archive was full
+            self.finish()
+        if self.row:
+            self.end_row()
+
+    def given(self) -> pa.RecordBatch:
+        out, self.out = self.out, []
+        return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
+
+
+def _frames(rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from textframe.llm._common import parts
+
+        archives = _Archives(rows)
+        for batch in parts(batches, "payload", 1_000_000):
+            for row in batch.to_pylist():
+                archives.add(record(*row.values()))
+            if archives.out:
+                yield archives.given()
+        archives.finish()
+        if archives.out:
+            yield archives.given()
+
+    return run
+
+
+def write(records: DataFrame, path: str, rows: int = ROWS) -> None:
+    """Writes what `classify` gives as archives below path, of `rows` rows each, two at least: the dictionary and frames of records."""
     text = [F.col(c).cast("string").alias(c) for c in ("page_id", "url")]
-    rows = records.select(*text, "payload", "payload_bytes", "payload_digest", F.col("refers_to").cast("string").alias("refers_to"))
-    rows.mapInArrow(_frames, "frame binary").select(F.col("frame").cast("string").alias("value")).write.text(path)
+    made = records.select(*text, "payload", "payload_bytes", "payload_digest", F.col("refers_to").cast("string").alias("refers_to"))
+    made.mapInArrow(_frames(rows), "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("maxRecordsPerFile", rows).text(path)
 
 
 def records_of(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -152,7 +208,7 @@ def records_of(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    name = lambda x: x.removeprefix(f"<{_ID}").removesuffix(">") or None if x else None
+    name = lambda x: x[len(_ID) + 1 : -1] if x and x.startswith(f"<{_ID}") else None
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
     kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
     for batch in batches:
