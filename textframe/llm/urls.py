@@ -9,12 +9,17 @@ vary than binomial draws would (method of moments). A host without outcomes has
 domain's prior. A url is blocked if the lower bound of the posterior, mean less Z standard
 deviations, is above LIMIT.
 
-Suffixes are a host's last label and registered domains its last two (a host of one label
-is its own domain). Counts are summed before any shuffle, so a host with a third of the
-urls is one row of each task. Hosts' verdicts join back by broadcast while there are
-few hosts, by shuffling otherwise.
-
-Null urls, and those without `://`, have an empty host and path, fit no rule, and get the
+Reputation belongs to a site: the host without user part, port and last dot. A site that is
+an address (IPv4, or IPv6 in brackets) is its own domain, below the suffix `address`.
+Otherwise the suffix is the last label, or the last two where the last is a country's (two
+letters) and the one before is one of SECOND_LEVEL, as in `co.uk`; the registered domain has
+one label more (a site without one is its own domain). Counts are summed before any shuffle,
+so a host with a third of the urls is one row of each task. Each level is stored and
+summed once; overall rate and strengths are single numbers. Sites' verdicts join back by
+broadcast while their measured bytes are few; beyond that, those of the most frequent
+sites still do, so no site is one task's.
+
+Urls of any length are read whole; equal urls are judged each. Null urls, and those without `://`, have an empty host and path, fit no rule, and get the
 verdict of the empty host. Rows are neither merged nor dropped; other columns are ignored.
 """
 
@@ -25,7 +30,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textframe.llm._common import stored
+from textframe.llm._common import fits, hot_keys, spread_join, stored
 
 #: (verdict, host, path)
 RULES = (
@@ -37,7 +42,8 @@ RULES = (
 )
 Z = 1.645
 LIMIT = 0.5
-BROADCAST_ROWS = 200_000
+#: Labels that stand for a kind of registrant below a country's label: a fixed list, to be changed where more is known.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gov", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc")
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -57,8 +63,20 @@ def _rule(rules: tuple[tuple[str, str, str], ...]) -> Column:
     return out
 
 
-def levels(host: str = "host") -> dict[str, Column]:
-    return {"suffix": F.substring_index(host, ".", -1), "domain": F.substring_index(host, ".", -2)}
+_ADDRESS = r"^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|\[.*\])$"
+_SECOND = rf"(?:^|\.)((?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}})$"
+
+
+def site(host: Column) -> Column:
+    """A host without user part, port and last dot."""
+    return F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":[0-9]*$|\.$|\.:[0-9]*$", "")
+
+
+def levels(of: str = "site") -> dict[str, Column]:
+    address, second = F.col(of).rlike(_ADDRESS), F.regexp_extract(of, _SECOND, 1)
+    suffix = F.when(address, "address").when(second != "", second).otherwise(F.substring_index(of, ".", -1))
+    domain = F.when(address, F.col(of)).when(second != "", F.substring_index(of, ".", -3)).otherwise(F.substring_index(of, ".", -2))
+    return {"suffix": suffix, "domain": domain}
 
 
 def _strength(k: str, n: str, mean: str) -> Column:
@@ -72,32 +90,42 @@ def _strength(k: str, n: str, mean: str) -> Column:
 
 
 def reputation(outcomes: DataFrame) -> DataFrame:
-    """(host, mean, low): posterior of each host. outcomes: a row for each host, with n outcomes and k ones."""
-    hosts = outcomes.select("host", "n", "k", *(c.alias(name) for name, c in levels().items()))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n_d"), F.sum("k").alias("k_d"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n_d").alias("n_s"), F.sum("k_d").alias("k_s"))
-    every = suffixes.agg(((F.sum("k_s") + 0.5) / (F.sum("n_s") + 1)).alias("m_0"))
-    shrunk = lambda k, n, m: (F.col(k) + F.col("kappa") * F.col(m)) / (F.col(n) + F.col("kappa"))
-    # each prior is one row, a sum over its level, and so is bounded
-    suffixes = suffixes.crossJoin(F.broadcast(every))
-    suffixes = suffixes.crossJoin(F.broadcast(suffixes.agg(_strength("k_s", "n_s", "m_0").alias("kappa")))).select("suffix", shrunk("k_s", "n_s", "m_0").alias("m_s"))
-    domains = domains.join(suffixes, "suffix")
-    domains = domains.crossJoin(F.broadcast(domains.agg(_strength("k_d", "n_d", "m_s").alias("kappa")))).select("domain", shrunk("k_d", "n_d", "m_s").alias("m_d"))
-    hosts = hosts.join(domains, "domain")
-    hosts = hosts.crossJoin(F.broadcast(hosts.agg(_strength("k", "n", "m_d").alias("kappa"))))
-    a, b = F.col("k") + F.col("kappa") * F.col("m_d"), F.col("n") - F.col("k") + F.col("kappa") * (1 - F.col("m_d"))
-    mean = a / (a + b)
-    return hosts.select("host", mean.alias("mean"), (mean - Z * F.sqrt(mean * (1 - mean) / (a + b + 1))).alias("low"))
+    """(site, mean, low): posterior of each site. outcomes: a stored row for each site, with n outcomes and k ones."""
+    sites = stored(outcomes.select("site", "n", "k", *(c.alias(name) for name, c in levels().items())), "sites")
+    domains = stored(sites.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domains")
+    suffixes = stored(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "suffixes")
+    every = suffixes.agg(((F.sum("k") + 0.5) / (F.sum("n") + 1)).alias("m")).first()["m"] or 0.5
+
+    def shrunk(level: DataFrame, key: str, out: str) -> DataFrame:
+        """The level's posterior means; level: with the mean `m` of the one above."""
+        kappa = F.lit(level.agg(_strength("k", "n", "m").alias("kappa")).first()["kappa"])
+        a = F.col("k") + kappa * F.col("m")
+        return level.select(key, (a / (F.col("n") + kappa)).alias(out), (F.col("n") + kappa).alias("total"))
+
+    def below(level: DataFrame, above: DataFrame, key: str) -> DataFrame:
+        """level with the mean of the level above it. Keys that many groups have are not one task's."""
+        if fits(above):
+            return stored(level.join(F.broadcast(above), key), f"with-{key}")
+        sizes = stored(level.groupBy(key).agg(F.count(F.lit(1)).alias("groups")), f"sizes-{key}")
+        return stored(spread_join(level, above, key, hot_keys(sizes, key, "groups"), "inner"), f"with-{key}")
+
+    suffixes = stored(shrunk(suffixes.withColumn("m", F.lit(every)), "suffix", "m").select("suffix", "m"), "suffix-means")
+    domains = stored(shrunk(below(domains, suffixes, "suffix"), "domain", "m").select("domain", "m"), "domain-means")
+    mean = F.col("mean")
+    return shrunk(below(sites, domains, "domain"), "site", "mean").select("site", "mean", (mean - Z * F.sqrt(mean * (1 - mean) / (F.col("total") + 1))).alias("low"))
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, block_probability) for each row of pages."""
-    rows = parts(pages, id_col, url_col).withColumn("by", _rule(rules))
+    rows = parts(pages, id_col, url_col).withColumns({"by": _rule(rules), "site": site(F.col("host"))})
     decided = F.col("by").isNotNull()
-    sums = rows.groupBy("host").agg(F.count_if(decided).alias("n"), F.count_if(decided & (F.col("by.verdict") == "block")).alias("k"))
-    known = stored(reputation(stored(sums, "outcomes")), "reputation").withColumnRenamed("host", "of")
-    few = known.count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(known) if few else known, F.col("host") == F.col("of"))
+    sums = rows.groupBy("site").agg(F.count_if(decided).alias("n"), F.count_if(decided & (F.col("by.verdict") == "block")).alias("k"), F.count(F.lit(1)).alias("urls"))
+    sums = stored(sums, "outcomes")
+    known = stored(reputation(sums), "reputation")
+    if fits(known):
+        rows = rows.join(F.broadcast(known), "site")
+    else:
+        rows = spread_join(rows, known, "site", hot_keys(sums, "site", "urls"), "inner")
     verdict = F.coalesce(F.col("by.verdict"), F.when(F.col("low") > LIMIT, "block").otherwise("allow"))
     return rows.select("page_id", "host", "path", F.col("by.rule").alias("rule"), verdict.alias("verdict"), F.col("mean").alias("block_probability"))
 
@@ -107,7 +135,7 @@ def report(pages: DataFrame) -> DataFrame:
     return judge(pages).drop("block_probability")
 
 
-SQL = r"""
+SQL = rf"""
 WITH u AS (SELECT page_id,
     translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
@@ -118,8 +146,12 @@ r AS (SELECT *, CASE
     WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/de/') THEN 'net/de/'
     WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM u),
 v AS (SELECT *, CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS given FROM r),
-h AS (SELECT host, count(given) AS n, count(*) FILTER (given = 'block') AS k,
-    regexp_extract(host, '[^.]*$') AS suffix, CASE WHEN contains(host, '.') THEN regexp_extract(host, '[^.]*\.[^.]*$') ELSE host END AS domain FROM v GROUP BY host),
+w AS (SELECT *, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$|\.$|\.:[0-9]*$', '') AS site FROM v),
+g AS (SELECT site, count(given) AS n, count(*) FILTER (given = 'block') AS k, regexp_extract(site, '{_SECOND}', 1) AS second,
+    regexp_matches(site, '{_ADDRESS}') AS address FROM w GROUP BY site),
+h AS (SELECT site, n, k, CASE WHEN address THEN 'address' WHEN second <> '' THEN second ELSE regexp_extract(site, '[^.]*$') END AS suffix,
+    CASE WHEN address THEN site WHEN second <> '' THEN regexp_extract(site, '([^.]*\.)?[^.]*\.[^.]*$')
+         WHEN contains(site, '.') THEN regexp_extract(site, '[^.]*\.[^.]*$') ELSE site END AS domain FROM g),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY domain, suffix),
 s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY suffix),
 e AS (SELECT (sum(k) + 0.5) / (sum(n) + 1) AS m FROM s),
@@ -130,8 +162,8 @@ kd AS (SELECT 1 / least(0.99, greatest(0.01, coalesce(sum(CASE WHEN n > 0 THEN (
 d2 AS (SELECT domain, (k + kappa * m) / (n + kappa) AS m FROM d1, kd),
 h1 AS (SELECT h.*, d2.m FROM h JOIN d2 USING (domain)),
 kh AS (SELECT 1 / least(0.99, greatest(0.01, coalesce(sum(CASE WHEN n > 0 THEN (k - n * m) * (k - n * m) / n - m * (1 - m) END) / nullif(sum(CASE WHEN n > 0 THEN (n - 1) * m * (1 - m) END), 0), 0.01))) - 1 AS kappa FROM h1),
-p AS (SELECT host, (k + kappa * m) / (n + kappa) AS mean, n + kappa AS total FROM h1, kh),
-q AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (total + 1)) AS low FROM p)
+p AS (SELECT site, (k + kappa * m) / (n + kappa) AS mean, n + kappa AS total FROM h1, kh),
+q AS (SELECT site, mean - 1.645 * sqrt(mean * (1 - mean) / (total + 1)) AS low FROM p)
 SELECT page_id, host, path, rule, coalesce(given, CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM v JOIN q USING (host)
+FROM w JOIN q USING (site)
 """
