@@ -5,42 +5,55 @@ document with a smaller id. Overlaps count, strings are judged on the input, and
 crosses documents.
 
 Parsing. A rolling hash runs over every TRIGGER (24) bytes. Each string of LENGTH bytes is
-owned by the trigger with the smallest hash in it (the first, if several), which depends
-on the string alone; so equal strings have equal triggers, wherever they stand. The strings
-of one trigger start side by side: together they are a phrase, of at most 76 bytes, and a
-document is the sequence (parse) of its phrases, overlapping by LENGTH - 1 bytes.
-
-Dictionary. Phrases meet by their trigger's hash, dealt over buckets as arrays. A phrase
-that a smaller id has too is removed whole. Only where different phrases share a trigger
-(at the ends of a repeat, or by chance) can single strings be shared: the suffixes of those
-phrases are sorted as bytes, to a depth of LENGTH, beyond which their order does not matter,
-and equal neighbours get the smallest id among them. The order of the parse is never
-needed in full, as all that is asked of equal suffixes is their smallest document.
+owned by the trigger with the smallest hash in it (the first, if several), which depends on
+the string alone; so equal strings have equal triggers, wherever they stand, and no string
+is without one (with triggers taken by a hash modulo p, some would be). The strings of one
+trigger start side by side: together they are a phrase, of at most 76 bytes: the trigger,
+what leads up to it and what follows. A document is the sequence (parse) of its phrases.
+
+Dictionary. Phrases meet by their trigger's hash, dealt over buckets as arrays. Equal phrases
+(by 128 bits of hash, of the trigger and of the whole) become one entry with its smallest
+id; a phrase that a smaller id has too is removed whole. Strings of different phrases can be
+equal only where these share a trigger (at the ends of a repeat, or by chance): those go on,
+as bytes; in all others every suffix is alone in the corpus order, which needs no sorting.
+
+Corpus order. A string is a suffix of a dictionary phrase (cut at its trigger's end: 24 to 50
+bytes, and none a proper suffix's continuation, as each ends with its trigger) and what the
+parse goes on with after it (the rest of the 50). The suffix array of the dictionary orders
+the phrases by their bytes before the trigger, read backwards from it, so that one order
+serves suffixes of all lengths; that of the parse orders what follows, the trigger first. A
+string's place in the combined order is the pair of its ranks to the depths that its length
+asks for; strings with one pair are a run of equal 50-byte prefixes, compared byte by byte, and each
+run's smallest id is kept. The order of suffixes with different triggers is asked for by
+nothing, so those are not put in order against each other: a sort of all suffixes to depth 50 would
+shuffle 50 times the input.
 
 Within a part of a task, a phrase is sent only for its smallest id; the others are known to
 go. So a phrase with a third of all documents costs a row for each part, not for each
-document. Buckets are many (four for each shuffle partition).
+document. Buckets are many: four for each shuffle partition, and one for each BUCKET bytes
+of text at least, which bounds the arrays of a group.
 
 A short passage in changing surroundings gives one trigger a different phrase in each
 document. A trigger with about HOT phrases and more, as estimated from one row in SAMPLED,
 is not dealt as a whole: each of its strings is a phrase of its own, with the string's own
 hash for a key, so they spread over all buckets. Equal strings have equal triggers, so which
-triggers are dealt so changes no result.
+triggers are dealt so changes no result. Others have fewer than about HOT phrases.
 
-Ids must be whole numbers; a null id counts as the smallest. Null texts are empty. Rows
-that share an id do not remove from each other; rows that repeat an id with other texts
-are told apart by a check value. Other columns are ignored. Empty tables give no rows.
+Ids must be whole numbers; a null id counts as the smallest number, and is returned as null.
+Null texts are empty; very long ones are parsed in pieces that overlap, which changes no
+result. Rows that share an id do not remove from each other; rows that repeat an id with other
+texts are told apart by a check value. Other columns are ignored. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import gc
 import time
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,7 +65,9 @@ TRIGGER = 24
 #: Phrases of one trigger from which its strings are dealt one by one, and the rows of which one is looked at for that.
 HOT = 20_000
 SAMPLED = 8
+BUCKET = 64 << 20
 _PART = 2_000_000
+_REST = LENGTH - TRIGGER
 _NULL = -(2**63)
 _BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _TABLE = [np.random.Generator(np.random.PCG64([7, i])).integers(0, 2**64, 256, np.uint64) for i in (0, 1)]
@@ -84,13 +99,13 @@ class _Rolling:
 
 
 def phrases(raw: np.ndarray, offsets: np.ndarray, hot: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """The parse of texts laid end to end: (text, start, count, key, phrase hash), where count strings begin at start.
+    """The parse of texts laid end to end: (text, start, count, lead, key, phrase hash): count strings begin at start, the trigger lead bytes later.
 
     Phrases whose key is in `hot` are cut into their strings, under keys of their own.
     """
     n, wide = len(raw), LENGTH - TRIGGER + 1
     if n < LENGTH:
-        return tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.int8, np.uint64, np.uint64))
     one = _Rolling(raw, 0)
     hashes = one.of(slice(0, n - TRIGGER + 1), slice(TRIGGER, n + 1))
     least, place, have = hashes, np.arange(len(hashes), dtype=np.int32), 1
@@ -118,7 +133,18 @@ def phrases(raw: np.ndarray, offsets: np.ndarray, hot: np.ndarray | None = None)
     del one
     two = _Rolling(raw, 1)
     whole = _mixed(two.of(start, start + count + LENGTH - 1) + (own - start).astype(np.uint64) * np.uint64(64) + count.astype(np.uint64))
-    return text, start - offsets[text], count, key, whole
+    return text, start - offsets[text], count, (own - start).astype(np.int8), key, whole
+
+
+def _parsed(raw: np.ndarray, offsets: np.ndarray, hot: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """`phrases` of a part of a task; a single very long text comes in pieces, which share no string."""
+    if len(offsets) > 2 or len(raw) <= 2 * _PART:
+        yield phrases(raw, offsets, hot)
+        return
+    for at in range(0, len(raw), _PART):
+        piece = raw[at : at + _PART + LENGTH - 1]
+        text, start, *rest = phrases(piece, np.array([0, len(piece)]), hot)
+        yield text, start + at, *rest
 
 
 def _lists(order: np.ndarray, bucket: np.ndarray, columns: dict[str, np.ndarray], name: str = "bucket") -> pa.RecordBatch:
@@ -143,17 +169,16 @@ def _spans(doc: np.ndarray, check: np.ndarray, start: np.ndarray, count: np.ndar
     return doc[first], check[first], start[first], np.add.reduceat(count, first) if len(first) else count
 
 
-_PARSED = "bucket int, sure array<boolean>, key array<bigint>, phrase array<bigint>, doc array<bigint>, at array<int>, start array<int>, count array<int>"
-_FOUND = "doc bigint, at int, start int, count int, key bigint, sure boolean"
-_EDGES = "bucket int, key array<bigint>, doc array<bigint>, at array<int>, start array<int>, bytes array<binary>"
+_PARSED = "bucket int, sure array<boolean>, key array<bigint>, phrase array<bigint>, doc array<bigint>, at array<int>, start array<int>, count array<int>, lead array<tinyint>"
+_FOUND = "doc bigint, at int, start int, count int, lead tinyint, key bigint, sure boolean"
+_EDGES = "bucket int, doc array<bigint>, at array<int>, start array<int>, lead array<tinyint>, bytes array<binary>"
 
 
 def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, n): triggers with several different phrases within a part."""
     from textframe.llm._common import parts, utf8
 
-    for batch in parts(batches, "text", _PART):
-        key, whole = phrases(*utf8(batch.column("text")))[3:]
+    for key, whole in (x[4:] for batch in parts(batches, "text", _PART) for x in _parsed(*utf8(batch.column("text")))):
         order = np.lexsort((whole, key))
         k, w = key[order], whole[order]
         k = k[np.append(True, (k[1:] != k[:-1]) | (w[1:] != w[:-1]))] if len(k) else k
@@ -175,39 +200,42 @@ def _parse(buckets: int, hot):
 
         for batch in parts(batches, "text", _PART):
             raw, offsets = utf8(batch.column("text"))
-            text, start, count, key, whole = phrases(raw, offsets, hot.value)
-            if not len(text):
-                continue
-            data = raw.tobytes()
-            at = np.array([zlib.crc32(data[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)], np.uint32).view(np.int32)[text]
-            doc = batch.column("id").to_numpy(zero_copy_only=False)[text]
-            order = np.lexsort((doc, whole, key))
-            k, w, d = key[order], whole[order], doc[order]
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (w[1:] != w[:-1])
-            first = np.flatnonzero(new)
-            later = np.zeros(len(k), bool)
-            later[order] = d > np.repeat(d[first], np.diff(first, append=len(d)))
-            sent = ~later
-            some = _spans(doc[later], at[later], start[later], count[later])
-            columns = {
-                "sure": np.repeat([False, True], [int(sent.sum()), len(some[0])]),
-                "key": np.concatenate([key[sent].view(np.int64), np.zeros(len(some[0]), np.int64)]),
-                "phrase": np.concatenate([whole[sent].view(np.int64), np.zeros(len(some[0]), np.int64)]),
-                "doc": np.concatenate([doc[sent], some[0]]),
-                "at": np.concatenate([at[sent], some[1]]),
-                "start": np.concatenate([start[sent], some[2]]).astype(np.int32),
-                "count": np.concatenate([count[sent], some[3]]).astype(np.int32),
-            }
-            bucket = np.concatenate([key[sent] % np.uint64(buckets), some[0].view(np.uint64) % np.uint64(buckets)]).astype(np.int64)
-            yield _lists(np.lexsort((columns["start"], columns["doc"], bucket)), bucket, columns)
+            check = batch.column("at").to_numpy(zero_copy_only=False)
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            for found in _parsed(raw, offsets, hot.value):
+                if len(found[0]):
+                    yield sent(ids, check, *found)
+
+    def sent(ids: np.ndarray, check: np.ndarray, text: np.ndarray, start: np.ndarray, count: np.ndarray, lead: np.ndarray, key: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
+        doc, at = ids[text], check[text]
+        order = np.lexsort((doc, whole, key))
+        k, w, d = key[order], whole[order], doc[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (w[1:] != w[:-1])
+        first = np.flatnonzero(new)
+        later = np.zeros(len(k), bool)
+        later[order] = d > np.repeat(d[first], np.diff(first, append=len(d)))
+        first_here = ~later
+        some = _spans(doc[later], at[later], start[later], count[later])
+        columns = {
+            "sure": np.repeat([False, True], [int(first_here.sum()), len(some[0])]),
+            "key": np.concatenate([key[first_here].view(np.int64), np.zeros(len(some[0]), np.int64)]),
+            "phrase": np.concatenate([whole[first_here].view(np.int64), np.zeros(len(some[0]), np.int64)]),
+            "doc": np.concatenate([doc[first_here], some[0]]),
+            "at": np.concatenate([at[first_here], some[1]]),
+            "start": np.concatenate([start[first_here], some[2]]).astype(np.int32),
+            "count": np.concatenate([count[first_here], some[3]]).astype(np.int32),
+            "lead": np.concatenate([lead[first_here], np.zeros(len(some[0]), np.int8)]),
+        }
+        bucket = np.concatenate([key[first_here] % np.uint64(buckets), (some[0] ^ some[1]).view(np.uint64) % np.uint64(buckets)]).astype(np.int64)
+        return _lists(np.lexsort((columns["start"], columns["doc"], bucket)), bucket, columns)
 
     return run
 
 
 def _compare(table: pa.Table) -> pa.Table:
     """A bucket's phrases: what goes whole, and what must be compared string by string."""
-    sure, key, phrase, doc, at, start, count = (_flat(table, x) for x in ("sure", "key", "phrase", "doc", "at", "start", "count"))
+    sure, key, phrase, doc, at, start, count, lead = (_flat(table, x) for x in ("sure", "key", "phrase", "doc", "at", "start", "count", "lead"))
     order = np.lexsort((doc, phrase, key))
     order = order[~sure[order]]
     k, p, d = key[order], phrase[order], doc[order]
@@ -228,10 +256,11 @@ def _compare(table: pa.Table) -> pa.Table:
         np.concatenate([b, at[edge]]).astype(np.int32),
         np.concatenate([c, start[edge]]).astype(np.int32),
         np.concatenate([e, count[edge]]).astype(np.int32),
+        np.concatenate([np.zeros(len(a), np.int8), lead[edge]]),
         np.concatenate([np.zeros(len(a), np.int64), key[edge]]),
         np.repeat([True, False], [len(a), len(edge)]),
     ]
-    return pa.table(dict(zip(("doc", "at", "start", "count", "key", "sure"), map(pa.array, out), strict=True)))
+    return pa.table(dict(zip(("doc", "at", "start", "count", "lead", "key", "sure"), map(pa.array, out), strict=True)))
 
 
 def _cut(buckets: int):
@@ -240,53 +269,73 @@ def _cut(buckets: int):
         from textframe.llm._common import parts
 
         for batch in parts(batches, "text", _PART):
-            keys, docs, ats, starts, cut = [], [], [], [], []
-            for doc, text, edges in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("edges").to_pylist(), strict=True):
-                check = int(np.uint32(zlib.crc32(text)).view(np.int32))
-                for x in edges:
-                    if x["at"] == check:
-                        keys.append(x["key"])
-                        docs.append(doc)
-                        ats.append(check)
-                        starts.append(x["start"])
-                        cut.append(text[x["start"] : x["start"] + x["count"] + LENGTH - 1])
+            keys, docs, ats, starts, leads, cut = [], [], [], [], [], []
+            for doc, at, text, edges in zip(*(batch.column(x).to_pylist() for x in ("id", "at")), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("edges"), strict=True):
+                key, start, count, lead = (edges.values.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+                keys.append(key)
+                docs.append(np.full(len(key), doc, np.int64))
+                ats.append(np.full(len(key), at, np.int32))
+                starts.append(start)
+                leads.append(lead)
+                cut += [text[a:b] for a, b in zip(start.tolist(), (start + count + LENGTH - 1).tolist(), strict=True)]
             if keys:
-                key = np.array(keys, np.int64)
-                columns = {"key": key, "doc": np.array(docs, np.int64), "at": np.array(ats, np.int32), "start": np.array(starts, np.int32), "bytes": np.array(cut, object)}
+                key = np.concatenate(keys)
+                columns = {"doc": np.concatenate(docs), "at": np.concatenate(ats), "start": np.concatenate(starts), "lead": np.concatenate(leads), "bytes": np.array(cut, object)}
                 bucket = (key.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
                 yield _lists(np.argsort(bucket, kind="stable"), bucket, columns)
 
     return run
 
 
+def _ranks(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, shared): each row's place in the order of rows as bytes, and for each place how many bytes it shares with the one before."""
+    order = np.argsort(rows.view(f"S{rows.shape[1]}")[:, 0], kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    rows = rows[order]
+    differ = rows[1:] != rows[:-1]
+    shared = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
+    return place, np.append(-1, shared)
+
+
 def _suffixes(table: pa.Table) -> pa.Table:
-    """Sorts the suffixes of a bucket's phrases to a depth of LENGTH; gives those that a smaller id has too."""
-    doc, at, start = (_flat(table, x) for x in ("doc", "at", "start"))
+    """The combined order of a bucket's phrases; gives the strings that a smaller id has too."""
+    doc, at, start, lead = (_flat(table, x) for x in ("doc", "at", "start", "lead"))
     cut = table.column("bytes").combine_chunks().flatten()
-    size = np.array([len(x.as_buffer()) for x in cut], np.int64) if len(cut) else np.zeros(0, np.int64)
-    data = np.frombuffer(b"".join(cut.to_pylist()), np.uint8)
-    count = size - LENGTH + 1
-    row = np.repeat(np.arange(len(size)), count)
-    shift = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[(np.cumsum(size) - size)[row] + shift] if len(data) >= LENGTH else np.zeros((0, LENGTH), np.uint8)
-    strings = np.ascontiguousarray(windows).view(f"S{LENGTH}")[:, 0]
-    order = np.argsort(strings, kind="stable")
-    same, of = strings[order], row[order]
-    if len(same):
-        new = np.append(True, same[1:] != same[:-1])
-        first = np.flatnonzero(new)
-        low = np.repeat(np.minimum.reduceat(doc[of], first), np.diff(first, append=len(of)))
-        found = order[doc[of] > low]
-    else:
-        found = np.zeros(0, np.int64)
-    a, b, c, e = _spans(doc[row[found]], at[row[found]], start[row[found]] + shift[found], np.ones(len(found), np.int64))
+    n, lead = len(cut), lead.astype(np.int64)
+    data = np.frombuffer(b"".join(cut.to_pylist()) + bytes(LENGTH), np.uint8)
+    size = pc.binary_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+    begin = np.cumsum(size) - size
+    trigger = begin + lead
+    # before the trigger, backwards, and from the trigger on; beyond a phrase's ends stands nothing that is looked at below
+    back, on = np.arange(_REST), np.arange(LENGTH)
+    before = np.where(back < lead[:, None], data[np.maximum(trigger[:, None] - 1 - back, 0)], 0).astype(np.uint8)
+    after = np.where(on < (size - lead)[:, None], data[np.minimum(trigger[:, None] + on, len(data) - 1)], 0).astype(np.uint8)
+    (place_b, shared_b), (place_a, shared_a) = (_ranks(np.ascontiguousarray(x)) for x in (before, after))
+    found, shifts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for o in range(_REST + 1 if n else 0):
+        shift = lead - o  # where a string that has o bytes before its trigger starts
+        some = np.flatnonzero((shift >= 0) & (shift + LENGTH <= size))
+        if len(some) < 2:
+            continue
+        suffix, parse = np.cumsum(shared_b < o)[place_b[some]], np.cumsum(shared_a < LENGTH - o)[place_a[some]]
+        run = suffix * (n + 1) + parse
+        order = np.lexsort((doc[some], run))
+        run, ids = run[order], doc[some][order]
+        first = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+        later = order[ids > np.repeat(ids[first], np.diff(first, append=len(ids)))]
+        found.append(some[later])
+        shifts.append(shift[some[later]])
+    row, shift = np.concatenate(found), np.concatenate(shifts)
+    a, b, c, e = _spans(doc[row], at[row], start[row] + shift, np.ones(len(row), np.int64))
     return pa.table({"doc": pa.array(a), "at": pa.array(b.astype(np.int32)), "start": pa.array(c.astype(np.int32)), "count": pa.array(e.astype(np.int32))})
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, sampled: int = SAMPLED) -> DataFrame:
     """(doc, at, start, count): `count` strings from byte `start` on begin in a document with a smaller id. doc is the id, at a text's check value."""
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = _rows(docs, id_col, text_col)
+    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BUCKET)
     shared = docs.sparkSession.sparkContext.broadcast(hot_triggers(rows, hot, sampled))
     parsed = rows.mapInArrow(_parse(buckets, shared), _PARSED)
     found = stored(parsed.groupBy("bucket").applyInArrow(_compare, _FOUND), "phrases")
@@ -294,14 +343,17 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
         gc.collect()
         docs.sparkSession.sparkContext._jvm.System.gc()
         time.sleep(1)
-    edges = found.filter("not sure").groupBy("doc").agg(F.collect_list(F.struct("key", "at", "start", "count")).alias("edges"))
-    cut = rows.join(edges, rows["id"] == edges["doc"]).select("id", "text", "edges").mapInArrow(_cut(buckets), _EDGES)
+    edges = found.filter("not sure").groupBy(F.col("doc").alias("id"), "at").agg(F.collect_list(F.struct("key", "start", "count", "lead")).alias("edges"))
+    cut = rows.join(edges, ["id", "at"]).select("id", "at", "text", "edges").mapInArrow(_cut(buckets), _EDGES)
     suffixes = stored(cut.groupBy("bucket").applyInArrow(_suffixes, "doc bigint, at int, start int, count int"), "suffixes")
     return found.filter("sure").select("doc", "at", "start", "count").union(suffixes)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    """(id, at, text, void): at is the text's check value, void says that the id is null."""
+    check = F.crc32("text")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.col(id_col).isNull().alias("void"))
+    return rows.select("id", F.when(check < 2**31, check).otherwise(check - 2**32).cast("int").alias("at"), "text", "void")
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,9 +366,8 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
             if spans.is_valid and len(spans.values):
                 values = spans.values
-                check, start, count = (values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                mine = check == np.uint32(zlib.crc32(text)).view(np.int32)
-                for a, b in sorted(zip(start[mine].tolist(), (start[mine] + count[mine] + LENGTH - 1).tolist(), strict=True)):
+                start, count = (values.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+                for a, b in sorted(zip(start.tolist(), (start + count + LENGTH - 1).tolist(), strict=True)):
                     if a > at or not n:
                         out.append(text[at:a])
                         n += 1
@@ -328,17 +379,17 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed.append(gone)
             runs.append(n)
             kept.append(b"".join(out))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("void"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["id", "void", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept binary) for each row of docs."""
     rows = _rows(docs, id_col, text_col)
-    spans = removals(docs, id_col, text_col).groupBy("doc").agg(F.collect_list(F.struct("at", "start", "count")).alias("spans"))
-    joined = rows.join(spans, rows["id"] == spans["doc"], "left").select("id", "text", "spans")
-    out = joined.mapInArrow(_keep, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    spans = removals(docs, id_col, text_col).groupBy(F.col("doc").alias("id"), "at").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
+    joined = rows.join(spans, ["id", "at"], "left").select("id", "void", "text", "spans")
+    out = joined.mapInArrow(_keep, "id bigint, void boolean, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
     kind = docs.schema[id_col].dataType
-    return out.select(F.when(F.col("id") != _NULL, F.col("id")).cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")
+    return out.select(F.when(~F.col("void"), F.col("id")).cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def report(docs: DataFrame) -> DataFrame:
