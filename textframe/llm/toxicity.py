@@ -3,41 +3,45 @@
 A reader sees "1d10t", "i d i o t" and "idiooot" as one word. Here the writer's word is the
 hidden sequence and the written token the observed one: each written character is a node
 of a lattice whose edges are the letters it may stand for (itself, its leetspeak letters,
-nothing for an inserted separator, nothing for a repeat). A character trigram model of the
-whole corpus, counted over every document, weighs the letters; the cheapest path (Viterbi)
-is the restored word. Tokens without anything to restore stand for themselves. Tokens of
-any length are decoded whole. Between letters any character that is no letter or digit may
-be a separator. A token with a doubled letter is also read as written and with every letter
-once, and one with separators by its pieces. A run of spaced letters is read as one word,
-and cut into words where the character model puts their ends: all words on a path within
-MARGIN of the cheapest count.
-
-The restored words and their beginnings are hashed into 2**20 features. From a bounded
-sample of labelled rows (SAMPLE rows, those with the smallest hash of their id) come the
-feature counts by label and a logistic fit of a few statistics of each text's evidence;
-a sampled text's own label is taken out of the counts when its statistics are formed.
-Every text is scored whole, in one narrow pass; the model has a fixed size.
+nothing for an inserted separator or space, nothing for a repeat). A character trigram model
+of the whole corpus, counted over every document, weighs the letters; the cheapest path
+(Viterbi) is the restored word. Tokens without anything to restore stand for themselves.
+Tokens of any length are decoded whole. Between letters any character that is no letter or
+digit may be a separator. A token with a doubled letter is also read as written and with
+every letter once, and one with separators by its pieces. In a run of three and more spaced
+letters each space is an edge of the lattice too: it stands for nothing or for a word's end.
+Such a run is also read as one word and cut where the character model puts ends: all words
+on a path within MARGIN of the cheapest count.
+
+The restored words and their beginnings of four to seven letters are hashed into 2**20
+features. A batch's distinct tokens are read once; only those with something to restore go
+through the lattice. From a bounded sample of labelled documents (SAMPLE ids, those with the
+smallest hash, one text each) come the feature counts by label and a logistic fit of a few
+statistics of each text's evidence; a sampled text's own label is taken out of the counts
+when its statistics are formed. Every text is scored whole, in one narrow pass; the model
+has a fixed size.
 
 Null texts count as empty; texts without evidence get the score of no evidence. Without
 usable labels (none, or one value only) every score is 0. Labels with one id count as one
-row that is toxic if any is; null ids or labels teach nothing. Rows are neither merged nor
-dropped; columns other than those named are ignored.
+row that is toxic if any is; of several texts with one labelled id one is learned from, by
+its hash; null ids or labels teach nothing. Rows are neither merged nor dropped, equal texts
+get equal scores, an empty table gives no rows; columns other than those named are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textframe.llm._common import held_out
+from textframe.llm._common import fresh, held_out, stored
 
 #: Labelled rows from which the classifier is fitted at most.
 SAMPLE = 50_000
@@ -122,14 +126,18 @@ class Channel:
         return core
 
     def decode(self, core: str) -> str:
-        """The cheapest path through the lattice of a token."""
+        """The cheapest path through the lattice of a token, or of a run of spaced letters."""
+        return self.cheapest(core)[1]
+
+    def cheapest(self, core: str) -> tuple[float, str]:
+        """The cheapest path's cost, and what it spells."""
         # by the last two symbols and the last written letter; what is written is a chain from its end
         paths: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
         last = len(core) - 1
         often = len(_DOUBLE.findall(core)) > 1
         for at, char in enumerate(core):
             ways = [(x, _COST_LEET) for x in LEET.get(char, "")]
-            if char.isalpha():
+            if char.isalpha() or char == " ":
                 ways.append((char, 0.0))
             elif char.isdigit() or not ways:
                 ways.append((char, _COST_OTHER))
@@ -152,12 +160,12 @@ class Channel:
                 if drop is not None and (((a, b, was) not in new) or new[a, b, was][0] > cost + drop):
                     new[a, b, was] = (cost + drop, out)
             paths = new
-        _, chain = min(((cost + self.cost[a][b][0], out) for (a, b, _), (cost, out) in paths.items()), key=lambda x: x[0])
+        least, chain = min(((cost + self.cost[a][b][0], out) for (a, b, _), (cost, out) in paths.items()), key=lambda x: x[0])
         letters = []
         while chain is not None:
             chain, letter = chain
             letters.append(letter)
-        return "".join(reversed(letters))
+        return least, "".join(reversed(letters))
 
     def cut(self, run: str) -> set[str]:
         """The words of a run of letters on all paths through the lattice of their ends within MARGIN of the cheapest.
@@ -193,41 +201,139 @@ class Channel:
         return {run[j:i] for j, i, c in words if i - j > 2 and before[j] + c + after[i] <= before[n] + MARGIN}
 
     def words(self, text: str) -> set[str]:
-        """The restored words of a text; runs of three and more spaced letters are read as one token and as several too."""
-        tokens = set(text.split())
+        """The restored words of a text."""
+        return {x for token in set(text.split()) for x in self.readings(token)} | self.spaced(text)
+
+    def spaced(self, text: str) -> set[str]:
+        """The words in runs of three and more spaced letters."""
         found = set()
-        for token in tokens:
-            found.update(self.readings(token))
-        if sum(map((1).__eq__, map(len, tokens))) < 2:
-            return found
         for match in _SPACED.finditer(text):
-            # whole, without the separators, and where words are spaced wider, those
+            # whole, and where words are spaced wider, those
             wide = re.split(r"\s{2,}", match[0])
             for part in dict.fromkeys((match[0], *wide)):
-                run = "".join(x for x in part.split() if x.isalnum() or x in LEET)
+                shown = " ".join(x for x in part.lower().split() if x.isalnum() or x in LEET)
+                run = shown.replace(" ", "")
                 if len(run) < 3:
                     continue
+                for word in (*self.readings(run), *self.decode(shown).split()):
+                    found.update((word, _REPEATS.sub(r"\1", word)))
                 for word in self.readings(run):
-                    found.add(word)
                     if len(word) > 3:
                         found.update(self.cut(word))
         return found
 
 
-class _Features(dict):
-    """A word's features: itself and its beginnings of four, six and eight bytes."""
+_SEED = np.random.Generator(np.random.PCG64(3)).integers(0, 2**64, 256, np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+#: Letters of the beginnings that are features.
+BEGINNINGS = (4, 5, 6, 7)
+
+
+def features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(place, feature): a word itself and its beginnings, for words of three letters and more; place: in words."""
+    from textframe.llm._common import utf8
+
+    raw, offsets = utf8(words)
+    n = len(raw)
+    powers = np.full(n + 1, _BASE, np.uint64)
+    powers[0] = 1
+    np.cumprod(powers, out=powers)
+    back = np.full(n + 1, pow(_BASE, -1, 2**64), np.uint64)
+    back[0] = 1
+    np.cumprod(back, out=back)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_SEED[raw] * powers[:-1], out=sums[1:])
+    letter = np.append(np.flatnonzero(raw & 0xC0 != 0x80), n)  # where letters begin
+    first = np.searchsorted(letter, offsets[:-1])
+    long = np.flatnonzero(np.searchsorted(letter, offsets[1:]) - first > 2)
+    start, end, first = offsets[long], offsets[long + 1], first[long]
+    out = []
+    for k in (0, *BEGINNINGS):
+        stop = np.minimum(letter[np.minimum(first + k, len(letter) - 1)], end) if k else end
+        x = (sums[stop] - sums[start]) * back[start] + np.uint64(k > 0)
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        out.append((x >> np.uint64(44)).astype(np.int64))
+    return np.tile(long, len(out)), np.concatenate(out)
+
+
+class Reader:
+    """From texts to the features of their words; keeps what it has restored between batches."""
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        data = word.encode("utf-8", "replace")
-        out: tuple[int, ...] = ()
-        if len(word) > 2:
-            four = zlib.crc32(data[:4], 1)
-            six = zlib.crc32(data[4:6], four)
-            out = (zlib.crc32(data) % FEATURES, four % FEATURES, six % FEATURES, zlib.crc32(data[6:8], six) % FEATURES)
-        if len(self) >= _CACHE:
-            self.clear()
-        self[word] = out
-        return out
+    def __init__(self, characters: np.ndarray):
+        self.channel = Channel(characters)
+
+    def _tokens(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(place, feature) of distinct tokens."""
+        from textframe.llm._common import utf8
+
+        low = pc.utf8_lower(pc.utf8_rtrim(tokens, _STOPS))
+        raw, offsets = utf8(low)
+        of = np.repeat(np.arange(len(low)), np.diff(offsets))
+        twice = np.flatnonzero((raw[1:] == raw[:-1]) & (of[1:] == of[:-1]))
+        doubles = np.bincount(of[twice], minlength=len(low))
+        wide = np.bincount(of[raw >= 0x80], minlength=len(low)) > 0
+        alpha = pc.utf8_is_alpha(low).to_numpy(zero_copy_only=False)
+        plain = alpha & ((doubles == 0) if not wide.any() else (doubles == 0) & ~_repeats(raw, of, len(low)))
+        # one doubled letter: the lattice has two paths, and both are readings
+        pair = alpha & (doubles == 1) & ~wide
+        whole = np.flatnonzero(plain | pair)
+        once = np.flatnonzero(pair)
+        keep = np.ones(len(raw), bool)
+        keep[twice[pair[of[twice]]]] = False
+        squeezed = raw[keep & pair[of]].tobytes() if len(once) else b""
+        ends = np.append(0, np.cumsum(np.diff(offsets)[once] - 1))
+        words = [low.take(pa.array(whole)), pa.LargeStringArray.from_buffers(len(once), pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(squeezed))]
+        owners = [whole, once]
+        rest = np.flatnonzero(~(plain | pair))
+        read, owner = [], []
+        for at, token in zip(rest.tolist(), tokens.take(pa.array(rest)).to_pylist(), strict=True):
+            for word in self.channel.readings(token):
+                read.append(word.encode("utf-8", "replace").decode())
+                owner.append(at)
+        words.append(pa.array(read, pa.large_string()))
+        owners.append(np.array(owner, np.int64))
+        place, found = features(pa.concat_arrays(words))
+        return np.concatenate(owners)[place], found
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(text, feature): the distinct features of each text, in order of texts."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        cut = pc.utf8_split_whitespace(texts)
+        flat = cut.flatten().dictionary_encode()
+        at, tokens = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary
+        text = np.repeat(np.arange(len(texts)), np.diff(cut.offsets.to_numpy()))
+        place, found = self._tokens(tokens)
+        order = np.argsort(place, kind="stable")
+        place, found = place[order], found[order]
+        n = np.bincount(place, minlength=len(tokens))
+        pairs = _distinct(text * len(tokens) + at)
+        of, token = pairs // max(1, len(tokens)), pairs % max(1, len(tokens))
+        many = n[token] if len(tokens) else np.zeros(0, np.int64)
+        shift = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        codes = [np.repeat(of, many) * FEATURES + found[np.repeat((np.cumsum(n) - n)[token] if len(tokens) else many, many) + shift]]
+        single = (pc.utf8_length(tokens).to_numpy(zero_copy_only=False) == 1)[at] if len(tokens) else np.zeros(0, bool)
+        runs = single[2:] & single[1:-1] & single[:-2] & (text[2:] == text[:-2])
+        for i in np.unique(text[2:][runs]).tolist():
+            words = sorted(x.encode("utf-8", "replace").decode() for x in self.channel.spaced(texts[i].as_py()))
+            codes.append(i * FEATURES + features(pa.array(words, pa.large_string()))[1])
+        codes = _distinct(np.concatenate(codes))
+        return codes // FEATURES, codes % FEATURES
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def _repeats(raw: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Tokens in which a letter of two or more bytes may stand twice in a row."""
+    out = np.zeros(n, bool)
+    for k in (2, 3, 4):
+        same = raw[k:] == raw[:-k]
+        begins = (raw[:-k] >= 0xC0) & same & (of[k:] == of[:-k])
+        begins[: len(begins) - 1] &= same[1:]
+        out[of[:-k][begins]] = True
+    return out
 
 
 def character_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -254,18 +360,25 @@ def character_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return out
 
 
-def _evidence(ids: np.ndarray, toxic: np.ndarray, clean: np.ndarray, totals: tuple[float, float], own: int | None = None) -> list[float]:
-    """Statistics of the log odds of a text's features. own: the text's label, if it is among the counts."""
-    t, c = toxic[ids].astype(float), clean[ids].astype(float)
+def _evidence(text: np.ndarray, feature: np.ndarray, n: int, toxic: np.ndarray, clean: np.ndarray, totals: tuple[float, float], own: np.ndarray | None = None) -> np.ndarray:
+    """Statistics of the log odds of the features of n texts. own: the texts' labels, if they are among the counts."""
+    t, c = toxic[feature].astype(float), clean[feature].astype(float)
     t_all, c_all = totals
     if own is not None:
-        t, c = t - own, c - (1 - own)
+        t, c = t - own[text], c - (1 - own[text])
     known = t + c >= 3
-    t, c = t[known], c[known]
+    text, t, c = text[known], t[known], c[known]
     base = t_all / (t_all + c_all)
-    odds = np.sort(np.log((t + 2 * base) / (c + 2 * (1 - base))) - math.log(base / (1 - base)))[::-1]
-    strong = odds[odds > 1.5]
-    return [1.0, float(odds[0]) if len(odds) and odds[0] > 0 else 0.0, float(np.clip(odds[:5], 0, None).sum()), math.log1p(len(strong)), math.log1p(len(odds)), float(odds.mean()) if len(odds) else 0.0]
+    odds = np.log((t + 2 * base) / (c + 2 * (1 - base))) - math.log(base / (1 - base))
+    order = np.lexsort((-odds, text))
+    text, odds = text[order], odds[order]
+    count = np.bincount(text, minlength=n)
+    rank = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    over = np.clip(odds, 0, None)
+    sums = lambda which, what: np.bincount(text[which], what[which], n)
+    strong = np.bincount(text[odds > 1.5], minlength=n)
+    mean = np.bincount(text, odds, n) / np.maximum(1, count)
+    return np.stack([np.ones(n), sums(rank == 0, over), sums(rank < 5, over), np.log1p(strong), np.log1p(count), mean], 1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -289,17 +402,9 @@ class Model:
         self.totals = (0.0, 0.0)
         self.weights: np.ndarray | None = None
 
-    def reader(self):
-        """A function from texts to their feature ids; made once in each task."""
-        channel, features = Channel(self.characters), _Features()
-
-        def read(text: str | None) -> np.ndarray:
-            found: set[int] = set()
-            for word in channel.words(text or ""):
-                found.update(features[word])
-            return np.fromiter(found, np.int64, len(found))
-
-        return read
+    def reader(self) -> Reader:
+        """Made once in each task."""
+        return Reader(self.characters)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -310,16 +415,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     usable = usable.groupBy(F.col(id_col).alias("of")).agg(F.max(F.col(label).cast("int")).alias("y"))
     rows = usable.orderBy(F.xxhash64("of"), "of").limit(sample)
     rows = spark.createDataFrame(rows.collect(), rows.schema)  # bounded by `sample`
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(rows), F.col("id") == F.col("of")).select("text", "y")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(rows), F.col("id") == F.col("of"))
+    # one text for each id, so what is learned from and what reaches the driver is bounded whatever the ids
+    texts = texts.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("x")).select("id", "x.text", "y")
+    texts = stored(texts, "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, n = model.reader(), np.zeros((2, FEATURES), np.int32)
+        from textframe.llm._common import parts
+
+        reader, n = model.reader(), np.zeros((2, FEATURES), np.int64)
         rows = np.zeros(2, np.int64)
-        for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n[int(y > 0)][read(text)] += 1
-                rows[int(y > 0)] += 1
+        for batch in parts(batches, "text"):
+            y = (batch.column("y").to_numpy(zero_copy_only=False) > 0).astype(np.int64)
+            text, feature = reader.read(batch.column("text"))
+            n += np.bincount(y[text] * FEATURES + feature, minlength=2 * FEATURES).reshape(2, -1)
+            rows += np.bincount(y, minlength=2)
         at = np.flatnonzero(n.any(0))
+        n = n.astype(np.int32)
         for i in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(n[1][at[i : i + 100_000]]), pa.array(n[0][at[i : i + 100_000]])], ["at", "t", "c"])
         yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([rows[1]], pa.int32()), pa.array([rows[0]], pa.int32())], ["at", "t", "c"])
@@ -337,15 +449,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     shared = spark.sparkContext.broadcast(model)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from textframe.llm._common import parts
+
         m = shared.value
-        read = m.reader()
-        for batch in batches:
-            ys = [int(y > 0) for y in batch.column(1).to_pylist()]
-            x = [_evidence(read(text), m.toxic, m.clean, m.totals, y) for text, y in zip(batch.column(0).to_pylist(), ys, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(ys, pa.int32())], ["x", "y"])
-
-    points = texts.mapInArrow(weigh, "x array<double>, y int").toPandas()
-    points = points.sort_values("y", kind="stable") if len(points) else points
+        reader = m.reader()
+        for batch in parts(batches, "text"):
+            y = (batch.column("y").to_numpy(zero_copy_only=False) > 0).astype(np.int64)
+            x = _evidence(*reader.read(batch.column("text")), len(y), m.toxic, m.clean, m.totals, y)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(x), pa.list_(pa.float64())), pa.array(y.astype(np.int32))], ["id", "x", "y"])
+
+    points = texts.mapInArrow(weigh, T.StructType([texts.schema["id"], T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("y", T.IntegerType())])).toPandas()
+    points = points.sort_values("id", kind="stable")  # else the last bits would depend on the rows' order
     model.weights = _logistic(np.stack(points["x"].to_numpy()), points["y"].to_numpy().astype(float))
     return model
 
@@ -359,12 +473,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         from textframe.llm._common import parts
 
         m = shared.value
-        read = m.reader()
+        reader = m.reader()
         for batch in parts(batches, "_text"):
             if m.weights is None:
                 p = np.zeros(batch.num_rows)
             else:
-                x = np.array([_evidence(read(text), m.toxic, m.clean, m.totals) for text in batch.column("_text").to_pylist()])
+                x = _evidence(*reader.read(batch.column("_text")), batch.num_rows, m.toxic, m.clean, m.totals)
                 p = 1 / (1 + np.exp(-np.clip(x @ m.weights, -30, 30)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(p)], [*batch.schema.names[:-1], "_score"])
 
@@ -381,5 +495,6 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs whose score is below one half; columns stay."""
-    scored = score(docs, fit(docs, labels), keep=tuple(c for c in docs.columns if c != "doc_id"), out="_score_")
-    return scored.filter(F.col("_score_") < 0.5).select(*docs.columns)
+    name = fresh(docs, "score")
+    scored = score(docs, fit(docs, labels), keep=tuple(c for c in docs.columns if c != "doc_id"), out=name)
+    return scored.filter(F.col(name) < 0.5).select(*docs.columns)
