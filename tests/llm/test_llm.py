@@ -488,6 +488,20 @@ def test_pieces(odd, none, docs, texts):
     assert pieces.digests(odd).count() == odd.count() and pieces.digests(none).count() == 0
 
 
+@pytest.mark.parametrize("size", [0, 40, 10**6])
+def test_pieces_by_tables_of_any_size(spark, docs, size):
+    """What the table holds changes no result; it holds each of its chunks once, and no more than it may."""
+    import sentencepiece
+
+    model = open(pieces.default_model(), "rb").read()
+    names = pieces.table(docs, model, size=size).names.to_pylist()
+    assert len(names) == len(set(names)) <= size and (size < 40 or names)
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    for r in pieces.encode(docs, size=size).join(docs, "doc_id").collect():
+        ids = sp.encode(r.text or "")
+        assert r.ids == ids and r.decoded == sp.decode(ids), r.doc_id
+
+
 def test_pieces_strings():
     import sentencepiece
 
@@ -648,9 +662,15 @@ def test_components_and_groups_with_hot_keys(spark, monkeypatch):
     """A hub with many links, one large component and many copies of one text: looked up by broadcast, with the same results."""
     from textframe.llm import _common
 
-    edges = [(0, i) for i in range(1, 900)] + [(1000 + i, 1001 + i) for i in range(30)]
-    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
-    assert got == {i: 0 for i in range(900)} | {1000 + i: 1000 for i in range(31)}
+    edges = [(0, i) for i in range(1, 900)] + [(1000 + i, 1001 + i) for i in range(8)]
+    for most in (1 << 25, 0):
+        got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint"), broadcast=most).collect()}
+        assert got == {i: 0 for i in range(900)} | {1000 + i: 1000 for i in range(9)}
+    texts = [(i, "the same words in many rows of this table" if i % 3 else f"some other words {i} that differ from all others {i * 7919}") for i in range(300)]
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string")
+    wanted = sorted(map(repr, simhash.report(frame).collect()))
+    monkeypatch.setattr(simhash, "fits", lambda *_: False)
+    assert sorted(map(repr, simhash.report(frame).collect())) == wanted
     counts = spark.createDataFrame([(i, 500 if i == 3 else 1) for i in range(100)], "key bigint, n bigint")
     hot = _common.hot_keys(counts, "key")
     assert [r.key for r in hot.collect()] == [3]
@@ -821,3 +841,55 @@ def test_pipeline(spark, sf_dir, docs):
     assert secrets.report(now).filter("spans <> ''").count() == 0
     whole = {r.doc_id: r for r in p.run(spark, sf_dir).collect()}
     assert {r.doc_id: r for r in pieces.digests(now).collect()} == whole
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, sf_dir, odd, none):
+    import corpus_pipeline as p
+
+    for name, stage in p.STAGES:
+        after = stage(spark, none, sf_dir)
+        assert after.count() == 0, name
+        rows = stage(spark, odd, sf_dir)
+        if name != p.STAGES[-1][0]:
+            assert rows.columns == odd.columns and after.columns == odd.columns, name
+        n = rows.count()
+        assert n == odd.count() if name in ("secrets", "pieces") else 0 < n <= odd.count(), name
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """run() over a small table, each stage computed again in plain Python; only the toxic score is taken as given."""
+    import sentencepiece
+
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(12)
+    vocabulary = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe") for b in ("ra", "sti", "ton", "vel", "wy")]
+    prose = lambda n: " ".join(rng.choice(vocabulary, n))
+    items = [(i, prose(20)) for i in range(4)]
+    rows = [(i, prose(40)) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " again") for i in range(8)] + [(200 + i, rows[i][1]) for i in range(8)]
+    rows += [(300 + i, prose(10) + " " + x + " " + prose(10)) for i, x in items] + [(400, None), (401, ""), (402, "my password = abcdefgh1234 " + prose(20))]
+    rows += [(500 + i, "idiot " * 3 + prose(30)) for i in range(12)]
+    labels = [(i, 1, 0) for i in range(60)] + [(500 + i, 0, 1) for i in range(12)]
+    frame = spark.createDataFrame([(i, x, "en", "web", None if x is None else len(x)) for i, x in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, taught = (spark.read.parquet(str(tmp_path / f"{x}.parquet")) for x in ("documents", "labels"))
+    toxic = {r.doc_id for r in toxicity.report(docs, taught).collect() if r.score >= 0.5}
+    assert toxic >= {500 + i for i in range(12)} and len(toxic) < 20
+    now = {i: x for i, x in rows if i not in toxic}
+    prints = [int.from_bytes(int(v).to_bytes(8, "little", signed=True), "little") for v in simhash.fingerprint_batch([(x or "").encode() for x in now.values()])]
+    order, root = list(now), reachable(prints)
+    now = {i: now[i] for k, i in enumerate(order) if i == min(order[j] for j in range(len(order)) if root[j] == root[k])}
+    held = {d for d, _ in contained(list(now.items()), items)}
+    assert len(held) == 4
+    now = {i: x for i, x in now.items() if i not in held}
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    want = {}
+    for i, x in now.items():
+        text = re.sub(r"password = abcdefgh1234", "[secret]", x or "")
+        ids = sp.encode(text)
+        want[i] = (len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids)))
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in p.run(spark, str(tmp_path)).collect()}
+    assert got == want
