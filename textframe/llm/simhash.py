@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textframe.llm._common import stored
+from textframe.llm._common import fits, hot_keys, near, spread_join, stored
 from textframe.llm.graph import components
 
 SHINGLE = 4
@@ -46,8 +46,6 @@ WIDTHS = (13, 13, 13, 13, 12)
 SHIFTS = (0, 13, 26, 39, 52)
 #: Fingerprints filed under one key and block.
 BLOCK = 4096
-#: Rows up to which the table of full keys is broadcast.
-BROADCAST_KEYS = 500_000
 
 
 def fingerprint_batch(texts: list[bytes]) -> np.ndarray:
@@ -203,9 +201,8 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = filed(prints)
     full = rows.filter("role = 0").groupBy("key").count().filter(F.col("count") > block)
     full = stored(full.select(F.col("key").alias("full"), F.ceil(F.col("count") / block).cast("int").alias("blocks")), "full-keys")
-    n = full.count()
-    if n:
-        rows = rows.join(F.broadcast(full) if n <= BROADCAST_KEYS else full, rows["key"] == full["full"], "left")
+    if not full.isEmpty():
+        rows = rows.join(near(full), rows["key"] == full["full"], "left")
         blocks = F.coalesce("blocks", F.lit(1))
         own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
         rows = rows.select("key", "role", "fp", F.explode(F.when(F.col("role") == 0, F.array(own)).otherwise(F.sequence(F.lit(0), blocks - 1))).alias("block"))
@@ -218,12 +215,15 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
 def _grouped(docs: DataFrame, id_col: str, text_col: str, digests: tuple[Column, ...] = ()) -> DataFrame:
     """The rows of fingerprints() with component_id, and root, which tells components apart where ids are null or repeat."""
     prints = stored(fingerprints(docs, id_col, text_col, digests), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
+    nodes = stored(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     roots = components(links(nodes.select("fp")))
-    nodes = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    classes = nodes.filter("root = fp or least is not null").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(classes, "root", "left").select(F.col("fp").alias("of"), "root", "component_id")
-    return prints.join(named, prints["fp"] == named["of"]).drop("of")
+    rooted = stored(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+    classes = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), "roots")
+    ids = classes.select("root", "component_id")
+    named = rooted.join(F.broadcast(ids), "root") if fits(ids) else spread_join(rooted, ids, "root", hot_keys(classes, "root", "members"), "inner")
+    named = stored(named.select("fp", "root", "component_id"), "named")
+    found = prints.join(F.broadcast(named), "fp") if fits(named) else spread_join(prints, named, "fp", hot_keys(nodes, "fp"), "inner")
+    return found.select(*prints.columns, "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
