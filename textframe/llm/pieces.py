@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textframe.llm._common import stored
+
 MARK = "▁"
 #: Chunks in the broadcast table at most, and their characters at most.
 TABLE_SIZE = 400_000
@@ -171,7 +173,15 @@ def table(docs: DataFrame, model: bytes, text_col: str = "text", size: int = TAB
     if not seg.by_chunk:
         return Table(pa.array([], pa.large_string()), seg.segment([]))
     counts = docs.select(F.col(text_col).alias("text")).mapInArrow(_counts, "chunk string, n bigint").groupBy("chunk").agg(F.sum("n").alias("n"))
-    often = counts.filter("n > 1").orderBy(F.desc("n"), "chunk").limit(size).select("chunk")
+    counts = stored(counts.filter("n > 1").withColumn("class", F.floor(F.log2("n") * 8).cast("int")), "chunks")
+    # the classes of frequency, most frequent first, that hold no more than `size` chunks together; no sort, no single task
+    least, held = 1 << 30, 0
+    for of, n in sorted(counts.groupBy("class").count().collect(), reverse=True):
+        held += n
+        if held > size:
+            break
+        least = of
+    often = counts.filter(F.col("class") >= least).select("chunk")
 
     def segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = segmenter(model)
