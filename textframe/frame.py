@@ -18,6 +18,7 @@ from textframe.operators import levels as levels_
 from textframe.options import ReadOptions, input_path
 from textframe.plans.infer import SPARK_TYPES, ColumnInfo, code_storage, decide, profile
 from textframe.plans.order import POSITION, in_order
+from textframe.plans.storage import stored
 from textframe.sources.header import Header, find_header, without_header
 from textframe.sources.records import lines, records, text_files
 
@@ -55,9 +56,17 @@ class TextFrame:
         """Position and values c0, c1, ..."""
         return values(self._cells, self.columns, self.options)
 
+    def placed(self) -> DataFrame:
+        """The rows' places in the files (`_file`, `_block`, `_row`) and the columns c0, c1, ... in the order of the file."""
+        return self._placed if self._cells is not None else self._empty()
+
+    def _shown(self, i: int, c: ColumnInfo) -> Column:
+        value = F.col(f"c{i}")
+        return value.cast("binary") if c.dtype == "string" and self.options.out_encoding == "unknown" else value
+
     def _named(self, frame: DataFrame, ordered: bool, columns: list[ColumnInfo] | None = None) -> DataFrame:
         frame = in_order(frame) if ordered else frame
-        return frame.select(*(F.col(f"c{i}").alias(c.name, metadata=c.metadata) for i, c in enumerate(columns or self.columns)))
+        return frame.select(*(self._shown(i, c).alias(c.name, metadata=c.metadata) for i, c in enumerate(columns or self.columns)))
 
     def _empty(self) -> DataFrame:
         return self.spark.createDataFrame([], T.StructType([]))
@@ -66,22 +75,23 @@ class TextFrame:
         """Numbers and texts. ordered: rows in file order, which costs a sort."""
         if self._cells is None:
             return self._empty()
-        out = self._named(self._placed, ordered)
-        if self.options.out_encoding == "unknown":
-            out = out.select(*(F.col(f"`{c.name}`").cast("binary").alias(c.name, metadata=c.metadata) if c.dtype == "string" else F.col(f"`{c.name}`") for c in self.columns))
-        return out
+        return self._named(self._placed, ordered)
 
     def encoded(self, ordered: bool = False) -> DataFrame:
         """Numbers and texts, with the codes of their levels in place of categorical columns."""
         if self._cells is None:
             return self._empty()
+        frame, columns = self._coded()
+        return self._named(frame, ordered, columns)
+
+    def _coded(self) -> tuple[DataFrame, list[ColumnInfo]]:
         frame, columns = self._placed, []
         for i, c in enumerate(self.columns):
             if c.semantics == "cat":
                 frame = levels_.encoded(frame, f"c{i}", self._table(i), self.level_count(c.name))
                 c = ColumnInfo(c.name, "cat", code_storage(self.level_count(c.name)))
             columns.append(c)
-        return self._named(frame, ordered, columns)
+        return frame, columns
 
     def _table(self, i: int) -> DataFrame:
         if i not in self._tables:
@@ -114,7 +124,8 @@ class TextFrame:
 
     def column(self, name: str) -> DataFrame:
         """One column, expanded; the others are not computed."""
-        return self.expanded().select(f"`{name}`")
+        i = self._at(name)
+        return self._placed.select(self._shown(i, self.columns[i]).alias(name, metadata=self.columns[i].metadata))
 
     def sums(self) -> DataFrame:
         """One row: the sum of each numeric column, and of the byte lengths of each other column."""
@@ -146,20 +157,20 @@ class TextFrame:
     def iter_columns(self, expand: bool = True, forget: bool = True) -> Iterator[tuple[Any, ...]]:
         """(name, data) for each column if expand, else (name, data, semantics, levels), in file order.
 
-        One column at a time is brought to the driver. forget: accepted; nothing is kept in any case.
+        The file is parsed once, into columns below spark.checkpoint.dir, which are brought to the
+        driver one at a time. forget: accepted; nothing is kept on the driver in any case.
         """
         if self._cells is None:
             return
-        encoded = None if expand else self.encoded(ordered=True)
-        for i, c in enumerate(self.columns):
-            source = self.expanded(ordered=True) if expand else encoded
-            table = source.select(source[f"`{c.name}`"] if self.names.count(c.name) == 1 else F.col(f"`{c.name}`")).toArrow()
+        frame, columns = (self._placed, self.columns) if expand else self._coded()
+        kept = stored(frame, "columns")
+        for i, c in enumerate(columns):
+            table = in_order(kept.select(*POSITION, f"c{i}")).select(self._shown(i, c)).toArrow()
+            data = _numpy(table.column(0), c)
             if expand:
-                yield c.name, _numpy(table.column(0), c)
-            elif c.semantics == "cat":
-                yield c.name, _numpy(table.column(0), ColumnInfo(c.name, "cat", self.code_dtype(c.name))), "cat", np.array(self.level_list(c.name), object)
+                yield c.name, data
             else:
-                yield c.name, _numpy(table.column(0), c), c.semantics, np.array([], object)
+                yield c.name, data, c.semantics, np.array(self.level_list(c.name) if c.semantics == "cat" else [], object)
 
 
 def _decoded(cell: bytes | None) -> str | bytes | None:
@@ -246,8 +257,13 @@ def values(rows: DataFrame, columns: list[ColumnInfo], options: ReadOptions, kee
     return rows.select(*keep, *(_value(i, c, options).alias(f"c{i}", metadata=c.metadata) for i, c in enumerate(columns)))
 
 
-def read_csv(spark: SparkSession, path: str, **options: Any) -> TextFrame:
-    """Loads delimited text. options: those of `ReadOptions`."""
+def read_csv(spark: SparkSession, path: str, columns: list[ColumnInfo] | None = None, **options: Any) -> TextFrame:
+    """Loads delimited text. options: those of `ReadOptions`.
+
+    columns: the meanings and types of all columns, as another file of the same layout was found to
+    have (`TextFrame.columns`). With them nothing is inferred, and cells are read once; a cell that doesn't
+    fit its column is an error or, in a float column, lenient as in inference.
+    """
     chosen = ReadOptions(**options)
     found = records(spark, input_path(path), chosen)
     files = text_files(spark, input_path(path))
@@ -255,9 +271,12 @@ def read_csv(spark: SparkSession, path: str, **options: Any) -> TextFrame:
     if not header.names:
         return TextFrame(header, [], None, chosen, spark)
     names = list(header.names)
+    if columns is not None and [c.name for c in columns] != names:
+        raise ValueError(f"columns {[c.name for c in columns]} are given, the file has {names}")
     rows = token_rows(without_header(found, header, files), len(names), chosen)
-    columns = decide(names, profile(rows, names, chosen, lambda t, q: cell_string(t, q, chosen)), chosen)
-    return TextFrame(header, columns, rows, chosen, spark)
+    if columns is None:
+        columns = decide(names, profile(rows, names, chosen, lambda t, q: cell_string(t, q, chosen)), chosen)
+    return TextFrame(header, list(columns), rows, chosen, spark)
 
 
 # one call for each form of delivery

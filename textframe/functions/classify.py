@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textframe.functions.escapes import let
+
 #: Fixed values of the format: patterns of unquoted cells (leading blanks are allowed, trailing ones are not).
 MISSING = r"\A[ \t\n\x0B\f\r]*(?:\?|[nN][aA][nN])\z"
 INTEGER = r"\A[ \t\n\x0B\f\r]*-?[0-9]+\z"
@@ -12,7 +14,8 @@ FLOAT = r"\A[ \t\n\x0B\f\r]*-?(?:[0-9]*\.[0-9]+|(?:[0-9]+\.?[0-9]*|\.[0-9]+)[eE]
 EMPTY = r"\A[ \t\n\x0B\f\r]*-?\z"
 #: The longest beginning that reads as a number, for columns forced to be numeric.
 _PREFIX = r"\A[ \t\n\x0B\f\r]*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
-_NUMBER_ONLY = r"\A[ \t\n\x0B\f\r]*(-?[0-9]*)([.eE])?"
+_FRACTION = r"\A[ \t\n\x0B\f\r]*-?[0-9]*[.eE]"
+_NUMBER_ONLY = r"\A[ \t\n\x0B\f\r]*(-?[0-9]*)"
 #: Whole numbers that any cast takes, and whatever is an integer or a float.
 SHORT = r"\A[ \t\n\x0B\f\r]*-?[0-9]{1,18}\z"
 NUMBER = r"\A[ \t\n\x0B\f\r]*-?(?:[0-9]+|[0-9]*\.[0-9]+|(?:[0-9]+\.?[0-9]*|\.[0-9]+)[eE][+-]?[0-9]+)\z"
@@ -27,7 +30,7 @@ def cell_class(cell: Column, quoted: Column | None = None) -> Column:
 
 def number_only_class(cell: Column) -> Column:
     """The class under number_only: what begins with digits and a point or exponent is a float, all else an integer."""
-    slow = F.when(cell.rlike(MISSING), "missing").when(F.regexp_extract(cell, _NUMBER_ONLY, 2) != "", "float").otherwise("integer")
+    slow = F.when(cell.rlike(MISSING), "missing").when(cell.rlike(_FRACTION), "float").otherwise("integer")
     return F.when(cell.rlike(SHORT), "integer").otherwise(slow)
 
 
@@ -47,17 +50,25 @@ def double_value(cell: Column) -> Column:
 
 def integer_prefix(cell: Column) -> Column:
     """Digits at the start, as bigint; 0 if there are none, or too many."""
-    prefix = F.regexp_extract(cell, _NUMBER_ONLY, 1)
-    found = F.when(prefix.rlike("[0-9]"), prefix.try_cast("bigint"))
-    return F.coalesce(F.when(cell.rlike(SHORT), integer_value(cell)).otherwise(found), F.lit(0).cast("bigint"))
+
+    def found(text: Column) -> Column:
+        prefix = F.regexp_extract(text, _NUMBER_ONLY, 1)
+        return F.when(prefix.rlike("[0-9]"), prefix.try_cast("bigint"))
+
+    # most cells need no pattern but the first
+    return F.coalesce(F.when(cell.rlike(SHORT), F.ltrim(cell, F.lit(BLANKS)).try_cast("bigint")).otherwise(let(cell, found)), F.lit(0).cast("bigint"))
 
 
 def lenient_double(cell: Column) -> Column:
     """A number from any text: its longest numeric beginning, else 0; NaN for empty texts and those that begin with n or ?."""
-    text = F.ltrim(cell, F.lit(BLANKS))
-    first, prefix = F.substring(text, 1, 1), F.regexp_extract(cell, _PREFIX, 1)
-    found = F.when(cell.rlike(NUMBER), text.try_cast("double")).when(prefix != "", prefix.try_cast("double"))
-    return F.when(first.isin("", "n", "N", "?"), F.lit(float("nan"))).when(first.between("0", "9") | first.isin("-", "+", "."), F.coalesce(found, F.lit(0.0))).otherwise(0.0)
+
+    def other(token: Column) -> Column:
+        first, prefix = F.substring(F.ltrim(token, F.lit(BLANKS)), 1, 1), F.regexp_extract(token, _PREFIX, 1)
+        found = F.when(prefix != "", prefix.try_cast("double"))
+        return F.when(first.isin("", "n", "N", "?"), F.lit(float("nan"))).when(first.between("0", "9") | first.isin("-", "+", "."), F.coalesce(found, F.lit(0.0))).otherwise(0.0)
+
+    # most cells need no pattern but the first
+    return F.when(cell.rlike(NUMBER), F.ltrim(cell, F.lit(BLANKS)).try_cast("double")).otherwise(let(cell, other))
 
 
 def float_text(value: Column) -> Column:

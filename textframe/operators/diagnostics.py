@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textframe.functions import classify
 from textframe.options import ReadOptions, input_path
-from textframe.plans.order import numbered
+from textframe.plans.order import POSITION, numbered, quoted
 from textframe.sources.header import find_header, without_header
 from textframe.sources.records import lines, text_files
 
@@ -81,7 +81,7 @@ def column_sums(frame: DataFrame) -> DataFrame:
     kinds = dict(frame.dtypes)
     each = []
     for name in frame.columns:
-        column = F.col(f"`{name}`")
+        column = F.col(quoted(name))
         if kinds[name] in ("string", "binary"):
             each.append(F.sum(F.octet_length(column)).alias(name))
         else:
@@ -95,10 +95,11 @@ def compare_frames(a: DataFrame, b: DataFrame) -> DataFrame:
     a and b have the same columns and the position columns of loaded frames; rows are matched by
     their number in file order.
     """
-    names = [c for c in a.columns if not c.startswith("_")]
+    names = [c for c in a.columns if c not in POSITION]
     kinds = dict(a.dtypes)
-    left = numbered(a).select("_n", *(F.col(f"`{c}`").alias(f"l{i}") for i, c in enumerate(names)))
-    right = numbered(b).select(F.col("_n").alias("_m"), *(F.col(f"`{c}`").alias(f"r{i}") for i, c in enumerate(names)))
+    each = lambda of, x: (F.col(quoted(c)).alias(f"{x}{i}") for i, c in enumerate(names))
+    left = numbered(a.select(*POSITION, *each(a, "l")))
+    right = numbered(b.select(*POSITION, *each(b, "r")), "_m").drop(*POSITION)
     both = left.join(right, left["_n"] == right["_m"], "full")
     each = []
     for i, name in enumerate(names):
@@ -111,5 +112,25 @@ def compare_frames(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.agg(*each)
 
 
+def compare_with_pandas(filename: str, **options: Any) -> DataFrame:
+    """`compare_frames` of a file as this library loads it and as pandas reads it; for files that pandas can hold.
+
+    Numeric columns are compared as numbers, with 0 for pandas' empty cells and NaN for `?`; others by their text.
+    """
+    import pandas as pd
+
+    from textframe.frame import read_csv
+
+    spark = _session()
+    mine = read_csv(spark, filename, **options)
+    theirs = pd.read_csv(filename, dtype=str, keep_default_na=False, escapechar="\\")
+    number = lambda c: pd.to_numeric(c.str.strip().replace({"": "0", "?": "nan"}), errors="coerce")
+    columns = [theirs.iloc[:, i] if c.dtype == "string" else number(theirs.iloc[:, i]).astype("float32" if c.dtype == "float" else float) for i, c in enumerate(mine.columns)]
+    rows = [(filename, 0, i, *row) for i, row in enumerate(zip(*(c.tolist() for c in columns), strict=True))]
+    kinds = ", ".join(f"c{i} {'string' if c.dtype == 'string' else 'double'}" for i, c in enumerate(mine.columns))
+    other = spark.createDataFrame(rows, f"_file string, _block bigint, _row bigint, {kinds}")
+    return compare_frames(mine.placed(), other).toDF(*mine.names)
+
+
 def _session() -> SparkSession:
     return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()

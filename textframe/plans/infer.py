@@ -93,7 +93,8 @@ def profile(cells: DataFrame, names: list[str], options: ReadOptions, text: Call
     if options.limits and not options.number_only:
         wanted.append(F.max(F.octet_length("shown")).alias("longest"))
         if options.max_levels is not None:
-            wanted.append(F.count_distinct("shown").alias("levels"))
+            # 96 bits of hashes stand for the texts, which are not shuffled
+            wanted.append(F.count_distinct(F.when(F.col("shown").isNotNull(), F.struct(F.xxhash64("shown"), F.hash("shown")))).alias("levels"))
     return {row["i"]: row for row in each.groupBy("i").agg(*wanted).collect()}
 
 

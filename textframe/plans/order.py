@@ -15,6 +15,11 @@ POSITION = ("_file", "_block", "_row")
 BROADCAST_SPLITS = 200_000
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark's expressions take it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def near(df: DataFrame, rows: int, most: int = BROADCAST_SPLITS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 

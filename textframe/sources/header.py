@@ -13,8 +13,6 @@ from textframe.functions.escapes import DECODED
 from textframe.options import ReadOptions
 from textframe.plans.order import near
 
-#: Lines up to which a header may go on.
-LONGEST = 4096
 _ESCAPE = re.compile(rb"\\(x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[\s\S]|\Z)")
 
 
@@ -79,25 +77,38 @@ def read_header(source: DataFrame, options: ReadOptions) -> Header:
         return Header((), True)
     block, row, value = first[0][0], first[0][1], bytes(first[0][2])
     quoted = options.allow_quoted_newlines and not options.number_only
-    lines = 1
-    while quoted and _goes_on(value) and lines < LONGEST:
-        lines *= 4
+    lines, read = 1, 1
+    while quoted and read == lines and _goes_on(value):  # until the record ends, or the file
+        lines *= 8
         later = source.filter(F.col("_row") >= row).limit(lines).select(F.col("value").cast("binary")).collect()
-        value = b""
-        for (line,) in later:
-            value = value + b"\n" + bytes(line) if value else bytes(line)
-            if not _goes_on(value):
+        read = len(later)
+        found = [bytes(x) for (x,) in later]
+        open_, ends = False, len(found)
+        for i, line in enumerate(found):
+            open_ ^= _quotes(line) % 2 == 1
+            if not open_ and not _tail(line):
+                ends = i + 1
                 break
+        value = b"\n".join(found[:ends])
     cells = [decode_name(x) for x in split_header(value.lstrip(b" \t\v\f\r\n"))]
     if options.no_header or len(set(cells)) < len(cells):
         return Header(tuple(f"col{i}" for i in range(len(cells))), False, block, row)
     return Header(tuple(cells), True, block, row, value)
 
 
+def _quotes(line: bytes) -> int:
+    """Quotes that are not escaped."""
+    return re.sub(rb"\\[\s\S]", b"", line).count(b'"')
+
+
+def _tail(line: bytes) -> bool:
+    """Whether the end is escaped."""
+    return (len(line) - len(line.rstrip(b"\\"))) % 2 == 1
+
+
 def _goes_on(record: bytes) -> bool:
     """Whether a record has an open quote or an escaped end."""
-    bare = re.sub(rb"\\[\s\S]", b"", record)
-    return bare.count(b'"') % 2 == 1 or bare.endswith(b"\\")
+    return _quotes(record) % 2 == 1 or _tail(record)
 
 
 def find_header(read: Callable[[str], DataFrame], files: list[str], options: ReadOptions) -> Header:

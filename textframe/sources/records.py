@@ -135,10 +135,12 @@ def quoted_records(source: DataFrame) -> DataFrame:
     if n > BROADCAST_SPLITS:
         rows = rows.repartition("_file", "_block").sortWithinPartitions("_file", "_block", "_row")
     made = rows.mapInArrow(_assemble, _SCHEMA)
-    if not crosses:
-        found = made.select("_file", "_block", "_row", F.col("value").cast("string").alias("value"))
-    else:
-        found = made.filter("piece is null").select("_file", "_block", "_row", "value").union(_crossing(made)).withColumn("value", F.col("value").cast("string"))
+    found = made.select("_file", "_block", "_row", F.col("value").cast("string").alias("value"), "piece")
+    if crosses:
+        # at most two pieces for each split, joined once; what reads the records later passes over them
+        joined = stored(_crossing(made.filter("piece is not null")), "crossing").withColumn("value", F.col("value").cast("string"))
+        found = found.filter("piece is null").drop("piece").union(joined)
+    found = found.select("_file", "_block", "_row", "value")
     if not ends["kept"]:
         return found
     kept = last.filter("tail and ended").select(F.col("_file").alias("_f"))
@@ -148,9 +150,9 @@ def quoted_records(source: DataFrame) -> DataFrame:
 
 
 def _crossing(made: DataFrame) -> DataFrame:
-    """Records that cross splits, joined from their pieces."""
+    """Records that cross splits, joined from their pieces, which `made` holds."""
     order = Window.partitionBy("_file").orderBy("_block", "_row")
-    part = made.filter("piece is not null").withColumn("_group", F.count_if(F.col("piece") == "tail").over(order))
+    part = made.withColumn("_group", F.count_if(F.col("piece") == "tail").over(order))
     joined = part.groupBy("_file", "_group").agg(F.array_sort(F.collect_list(F.struct("_block", "_row", "value"))).alias("x"))
     text = F.array_join(F.transform("x", lambda p: F.decode(p["value"], "ISO-8859-1")), "\n")
     return joined.select("_file", F.col("x")[0]["_block"].alias("_block"), F.col("x")[0]["_row"].alias("_row"), F.encode(text, "ISO-8859-1").alias("value"))
@@ -158,10 +160,11 @@ def _crossing(made: DataFrame) -> DataFrame:
 
 def records(spark: SparkSession, path: str, options: ReadOptions) -> DataFrame:
     """(_file, _block, _row, value) for each record that isn't empty."""
-    if options.num_threads:
-        spark.conf.set("spark.sql.files.minPartitionNum", str(options.num_threads))
     found = lines(spark, path)
     if options.allow_quoted_newlines and not options.number_only:
         found = quoted_records(found)
-    return found.filter((F.col("value") != "") & (F.col("value") != "\r"))
+    found = found.filter((F.col("value") != "") & (F.col("value") != "\r"))
+    if options.num_threads and found.rdd.getNumPartitions() < options.num_threads:
+        found = found.repartition(options.num_threads)  # rows carry their places, so any order will do
+    return found
 

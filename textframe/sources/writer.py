@@ -12,9 +12,9 @@ from textframe.functions.escapes import escape, escape_text
 from textframe.options import WriteOptions, input_path
 
 
-def _cell(name: str, kind: T.DataType, options: WriteOptions) -> Column:
-    """A value as it stands in the file: texts in quotes, numbers without."""
-    value = F.col(f"`{name}`")
+def _cell(name: str, place: str, kind: T.DataType, options: WriteOptions) -> Column:
+    """A value as it stands in the file: texts in quotes, numbers without. place: the column's own name in a frame of places."""
+    value = F.col(place)
     if isinstance(kind, T.BooleanType):
         return F.coalesce(F.initcap(value.cast("string")), F.lit("nan"))
     if isinstance(kind, T.FloatType | T.DoubleType):
@@ -32,9 +32,14 @@ def header_line(names: list[str], options: WriteOptions) -> bytes:
     return b",".join(b'"' + escape_text(n, options) + b'"' for n in names) + (b"\r" if options.dos else b"")
 
 
+def placed(frame: DataFrame) -> DataFrame:
+    """frame with its columns named by their places, so that names may repeat and hold any character."""
+    return frame.toDF(*(f"c{i}" for i in range(len(frame.columns))))
+
+
 def line(frame: DataFrame, options: WriteOptions) -> Column:
-    """The line of a row."""
-    cells = [_cell(f.name, f.dataType, options) for f in frame.schema.fields]
+    """The line of a row of `placed(frame)`."""
+    cells = [_cell(f.name, f"c{i}", f.dataType, options) for i, f in enumerate(frame.schema.fields)]
     return F.concat(F.concat_ws(",", *cells), F.lit("\r")) if options.dos else F.concat_ws(",", *cells)
 
 
@@ -77,12 +82,16 @@ def _frame(spark: SparkSession, frame: Any) -> DataFrame:
 
 
 def write_parts(frame: DataFrame, path: str, **options: Any) -> None:
-    """Writes a folder of files, each with the header: the way for large frames. No shuffle."""
+    """Writes a folder of files, each with the header: the way for large frames. No shuffle. A frame without rows is a header."""
     chosen = WriteOptions(**options)
     head = F.lit(header_line(frame.columns, chosen)).cast("string")
     first = F.monotonically_increasing_id() % (1 << 33) == 0  # a partition's first row
     text = line(frame, chosen)
-    frame.select(F.when(first, F.concat(head, F.lit("\n"), text)).otherwise(text).alias("value")).write.option("lineSep", "\n").text(input_path(path))
+    rows = placed(frame).select(F.when(first, F.concat(head, F.lit("\n"), text)).otherwise(text).alias("value"))
+    rows.write.option("lineSep", "\n").text(input_path(path))
+    spark = frame.sparkSession
+    if frame.columns and spark.read.text(input_path(path)).isEmpty():  # no row to put a header before
+        spark.range(1).coalesce(1).select(head.alias("value")).write.mode("append").option("lineSep", "\n").text(input_path(path))
 
 
 def save_frame(path: str, frame: Any, allow_quoted_newlines: bool = True, out_encoding: str = "arbitrary", dos: bool = False, spark: SparkSession | None = None) -> None:
@@ -93,7 +102,7 @@ def save_frame(path: str, frame: Any, allow_quoted_newlines: bool = True, out_en
     if not frame.columns:
         spark.createDataFrame([], "value string").write.text(input_path(path))
         return
-    rows = frame.select(F.monotonically_increasing_id().alias("_n"), line(frame, chosen).alias("value"))
+    rows = placed(frame).select(F.monotonically_increasing_id().alias("_n"), line(frame, chosen).alias("value"))
     head = spark.range(1).select(F.lit(-1).cast("long").alias("_n"), F.lit(header_line(frame.columns, chosen)).cast("string").alias("value"))
     rows.union(head).repartition(1).sortWithinPartitions("_n").select("value").write.option("lineSep", "\n").text(input_path(path))
 
