@@ -15,7 +15,8 @@ from textframe.frame import TextFrame, read_csv
 from textframe.functions import classify, escapes, lexing
 from textframe.operators import diagnostics, levels
 from textframe.plans.order import POSITION
-from textframe.plans.storage import shared_dir
+from textframe.plans.storage import shared_dir, stored
+from textframe.sources.records import text_files
 from textframe.sources.writer import save_frame, write_parts
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -309,21 +310,130 @@ def decode_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.decoded(coded, "o_orderpriority", loaded.levels("o_orderpriority"), loaded.level_count("o_orderpriority"))
 
 
+# the reader on files of other shapes
+
+
+@_query("SELECT CAST(doc_id AS BIGINT) AS doc_id, text FROM documents")
+def records_across_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits of 16 kB, so that many texts with line ends begin in one split and end in another."""
+    path = _written(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "16k")
+    try:
+        return stored(_plain(read_csv(spark, path, allow_quoted_newlines=True, text_names=("text",)).expanded()), "across")
+    finally:
+        spark.conf.set(size, before)
+
+
+@_query("SELECT CAST(l_orderkey AS BIGINT) AS a, CAST(l_partkey AS BIGINT) AS b, count(*) AS n FROM lineitem GROUP BY ALL")
+def blank_lines_are_no_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An empty line, or one with a carriage return only, after each record."""
+    rows = _table(spark, sf_dir, "lineitem")
+    b = F.concat(F.col("l_partkey").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, "\n").otherwise("\n\r"))
+    path = _written(_Raw(rows.select(F.col("l_orderkey").cast("string").alias("a"), b.alias("b"))))
+    return _plain(read_csv(spark, path).expanded()).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT sum(l_orderkey) / (2 * count(*)) AS a, sum(l_partkey) / (2 * count(*)) AS b FROM lineitem")
+def average_columns_with_blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank lines count as lines, and add nothing."""
+    rows = _table(spark, sf_dir, "lineitem")
+    b = F.concat(F.col("l_partkey").cast("string"), F.lit("\n"))
+    return diagnostics.column_averages(spark, _written(_Raw(rows.select(F.col("l_orderkey").cast("string").alias("a"), b.alias("b")))))
+
+
+@_query("SELECT " + ", ".join(f"round(sum(CAST(CAST({c} AS REAL) AS DOUBLE)), 2) AS {c}" for c in _LINEITEM) + " FROM lineitem")
+def given_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of a known layout: meanings and types come from another file, and nothing is inferred."""
+    some = _table(spark, sf_dir, "lineitem").select(*_LINEITEM)
+    known = _again(some).columns
+    sums = read_csv(spark, _written(some), columns=known).sums()
+    return sums.select(*(F.round(F.col(c).cast("double"), 2).alias(c) for c in _LINEITEM))
+
+
+@_query("SELECT CAST(c_custkey AS BIGINT) AS \"a `b`\", c_name AS \"x, y\", c_mktsegment AS \"it's \"\"quoted\"\" \\\" FROM customer")
+def odd_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with backticks, commas, quotes and backslashes are escaped in the header and decoded again."""
+    frame = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment").toDF("a `b`", "x, y", "it's \"quoted\" \\")
+    loaded = _again(frame)
+    i, x, y = (loaded.column(c) for c in loaded.names)
+    names = i.columns + x.columns + y.columns
+    return loaded.expanded().toDF("i", "x", "y").select(F.col("i").cast("bigint"), "x", "y").toDF(*names)
+
+
+@_query("SELECT doc_id, CASE WHEN regexp_matches(left(text, 20), '[\\s\"''\\\\,]') OR left(text, 20) = '' THEN '\"' || replace(replace(replace(replace(replace(left(text, 20), '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(9), '\\t'), chr(13), '\\r') || '\"' ELSE left(text, 20) END AS quoted FROM documents")
+def quoted_if_needed_beginnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beginnings of texts: most need quotes, single long words don't."""
+    return _table(spark, sf_dir, "documents").select("doc_id", escapes.quoted_if_needed(F.substring("text", 1, 20)).alias("quoted"))
+
+
+@_query("SELECT 2.0::DOUBLE AS c_custkey, avg(CASE WHEN c_custkey % 7 = 0 THEN 1.0 ELSE 0.0 END) AS c_name, 0.0::DOUBLE AS c_nationkey FROM customer")
+def compare_frames_that_differ(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One id of a thousand is off by two, and each seventh name differs."""
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey").orderBy("c_custkey")
+    key = F.col("c_custkey")
+    other = rows.select((key + F.when(key == 5, 2).otherwise(0)).alias("c_custkey"), F.when(key % 7 == 0, F.concat("c_name", F.lit("!"))).otherwise(F.col("c_name")).alias("c_name"), "c_nationkey")
+    return diagnostics.compare_frames(*(_again(x).placed().toDF(*POSITION, *rows.columns) for x in (rows, other)))
+
+
+def _delivered(spark: SparkSession, found: dict) -> DataFrame:
+    """(place, name, n, total): how many values a column has on the driver, and the sum of its numbers or of its texts' lengths."""
+    rows = [(i, name, len(x), float(sum(len(v) for v in x) if x.dtype == object else x.astype(float).sum())) for i, (name, x) in enumerate(found.items())]
+    return spark.createDataFrame(rows, "place bigint, name string, n bigint, total double")
+
+
+_DELIVERED = """SELECT CAST(0 AS BIGINT) AS place, 's_suppkey' AS name, count(*) AS n, CAST(sum(s_suppkey) AS DOUBLE) AS total FROM supplier
+UNION ALL SELECT 1, 's_name', count(*), CAST(sum(length(s_name)) AS DOUBLE) FROM supplier UNION ALL SELECT 2, 's_nationkey', count(*), CAST(sum(s_nationkey) AS DOUBLE) FROM supplier"""
+
+
+@_query(_DELIVERED)
+def to_pandas_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pandas frame of a loaded file."""
+    frame = _again(_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")).to_pandas()
+    return _delivered(spark, {c: frame[c].to_numpy() for c in frame.columns})
+
+
+@_query(_DELIVERED)
+def expanded_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns pulled one by one, expanded."""
+    return _delivered(spark, dict(_again(_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")).iter_columns(expand=True)))
+
+
+@_query("""WITH r AS (SELECT DISTINCT o_orderpriority AS l FROM orders)
+SELECT 'o_orderkey' AS name, 'num' AS semantics, CAST(0 AS BIGINT) AS levels, count(*) AS n FROM orders
+UNION ALL SELECT 'o_orderpriority', 'cat', (SELECT count(*) FROM r), count(*) FROM orders""")
+def raw_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns pulled one by one as they are, with meanings and levels; each code is one of the levels'."""
+    loaded = _again(_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"))
+    rows = [(name, meaning, len(names), int(sum(x < len(names)) if len(names) else len(x))) for name, x, meaning, names in loaded.iter_columns(expand=False)]
+    return spark.createDataFrame(rows, "name string, semantics string, levels bigint, n bigint")
+
+
+@_query("SELECT o_orderkey, l.o_orderpriority FROM orders o JOIN (SELECT DISTINCT o_orderpriority FROM orders) l USING (o_orderpriority)")
+def dict_codes_and_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays by name with codes, and their levels, put together again."""
+    frame, names = _again(_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")).to_dict()
+    found = names["o_orderpriority"]
+    rows = [(int(k), found[c]) for k, c in zip(frame["o_orderkey"], frame["o_orderpriority"], strict=True)]
+    return spark.createDataFrame(rows, "o_orderkey bigint, o_orderpriority string")
+
+
 # diagnostics
 
 
 @_query("SELECT CAST(sum(length(text) - length(replace(text, chr(10), ''))) + count(*) + 1 AS BIGINT) AS newlines FROM documents")
 def newline_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_dir(spark, "text")
-    save_frame(path, _table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return diagnostics.newline_counts(spark, path)
+    path = _written(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    headers = len(text_files(spark, path))  # each file has one
+    return diagnostics.newline_counts(spark, path).select((F.col("newlines") - headers + 1).alias("newlines"))
 
 
 @_query("SELECT CAST(sum(octet_length(encode(CAST(doc_id AS VARCHAR) || ',\"' || replace(replace(replace(text, '\\', '\\\\'), '\"', '\\\"'), '''', '\\''') || '\"')) + 1) + 16 AS BIGINT) AS bytes FROM documents")
 def disk_to_mem_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_dir(spark, "text")
-    save_frame(path, _table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return diagnostics.byte_counts(spark, path)
+    path = _written(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    headers = len(text_files(spark, path))  # each file has one, of 16 bytes
+    return diagnostics.byte_counts(spark, path).select((F.col("bytes") - 16 * (headers - 1)).alias("bytes"))
 
 
 @_query("SELECT " + ", ".join(f"round(avg({c}), 4) AS {c}" for c in _LINEITEM) + " FROM lineitem")
