@@ -61,6 +61,8 @@ _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
 _LETTER = re.compile(r"[^\W\d_]")
 _CACHE = 80_000
+#: Bytes of text that are read together, or one text.
+_PART = 1_500_000
 _SYMBOLS = 28
 _LUT = np.zeros(256, np.int32)
 _LUT[[*range(97, 123)]] = _LUT[[*range(65, 91)]] = np.arange(1, 27)
@@ -425,7 +427,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         reader, n = model.reader(), np.zeros((2, FEATURES), np.int64)
         rows = np.zeros(2, np.int64)
-        for batch in parts(batches, "text"):
+        for batch in parts(batches, "text", _PART):
             y = (batch.column("y").to_numpy(zero_copy_only=False) > 0).astype(np.int64)
             text, feature = reader.read(batch.column("text"))
             n += np.bincount(y[text] * FEATURES + feature, minlength=2 * FEATURES).reshape(2, -1)
@@ -453,7 +455,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         m = shared.value
         reader = m.reader()
-        for batch in parts(batches, "text"):
+        for batch in parts(batches, "text", _PART):
             y = (batch.column("y").to_numpy(zero_copy_only=False) > 0).astype(np.int64)
             x = _evidence(*reader.read(batch.column("text")), len(y), m.toxic, m.clean, m.totals, y)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(x), pa.list_(pa.float64())), pa.array(y.astype(np.int32))], ["id", "x", "y"])
@@ -474,7 +476,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
         m = shared.value
         reader = m.reader()
-        for batch in parts(batches, "_text"):
+        for batch in parts(batches, "_text", _PART):
             if m.weights is None:
                 p = np.zeros(batch.num_rows)
             else:
