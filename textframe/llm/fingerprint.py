@@ -75,13 +75,14 @@ def _unhex(column: pa.Array) -> np.ndarray:
     return np.frombuffer(bytes.fromhex("".join(column.to_pylist())), np.uint8).reshape(len(column), -1)
 
 
-def _starts(docs: DataFrame, id_col: str, text_col: str, n: int) -> list[tuple[int, int, bytes]]:
+def _starts(docs: DataFrame, id_col: str, text_col: str, n: int, rows: int) -> list[tuple[int, int, bytes]]:
     """Keys of rows, evenly spread, where ranges begin: (0 for a null id, id, first BEGIN bytes of the text).
 
-    They are those of the 16 n rows with the smallest hashes, so what reaches the driver is bounded.
+    They are those of about 16 n of the rows, told by a hash, so what reaches the driver is bounded.
     """
     keys = docs.select(F.col(id_col).alias("id"), F.substring(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 1, BEGIN).alias("begin"))
-    some = keys.orderBy(F.xxhash64("id", "begin", F.monotonically_increasing_id())).limit(16 * n).collect()
+    hashed = F.pmod(F.xxhash64("id", "begin", F.monotonically_increasing_id()), F.lit(1 << 40))
+    some = keys.filter(hashed < min(1 << 40, (16 * n << 40) // rows)).collect()
     found = sorted((int(i is not None), i or 0, bytes(x)) for i, x in some)
     return sorted({found[len(found) * i // n] for i in range(1, n)}) if found else []
 
@@ -94,8 +95,9 @@ def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     followed by the first row of all, which begins a range of its own.
     """
     n = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", F.substring(F.col("text").cast("binary"), 1, BEGIN).alias("begin"))).alias("x")).first()[0]
-    starts = sorted({*_starts(docs, id_col, text_col, n), (int(first["known"]), first["id"] or 0, bytes(first["begin"]))}) if first else []
+    first = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", F.substring(F.col("text").cast("binary"), 1, BEGIN).alias("begin"))).alias("x"), F.count(F.lit(1)).alias("n")).first()
+    first, rows = first
+    starts = sorted({*_starts(docs, id_col, text_col, n, rows), (int(first["known"]), first["id"] or 0, bytes(first["begin"]))}) if first else []
     last = max(0, len(starts) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
