@@ -30,8 +30,8 @@ def cell_class(cell: Column, quoted: Column | None = None) -> Column:
 
 def number_only_class(cell: Column) -> Column:
     """The class under number_only: what begins with digits and a point or exponent is a float, all else an integer."""
-    slow = F.when(cell.rlike(MISSING), "missing").when(cell.rlike(_FRACTION), "float").otherwise("integer")
-    return F.when(cell.rlike(SHORT), "integer").otherwise(slow)
+    # no cell is both; numbers are the most frequent
+    return F.when(cell.rlike(SHORT), "integer").when(cell.rlike(_FRACTION), "float").when(cell.rlike(MISSING), "missing").otherwise("integer")
 
 
 def integer_value(cell: Column) -> Column:

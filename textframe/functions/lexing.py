@@ -38,7 +38,7 @@ def tokens(record: Column) -> Column:
 
 def number_tokens(record: Column) -> Column:
     """The cells of a record that holds numbers only."""
-    return F.split(F.replace(record, F.lit("\r"), F.lit("")), ",", -1)
+    return F.split(F.when(record.contains("\r"), F.replace(record, F.lit("\r"), F.lit(""))).otherwise(record), ",", -1)
 
 
 def is_quoted(token: Column) -> Column:
