@@ -164,3 +164,15 @@ def report(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return rows.mapInArrow(run, schema).withColumnRenamed("id", "doc_id")
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """The columns of op1 that SQL can say: (doc_id, n_chars, edited_sha256)."""
+    return edited(docs).select(F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
+
+
+TEXTS_SQL = """
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(left(t, n - n // 4) || left(after, n // 4)) AS edited_sha256
+FROM (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER w, first_value(t) OVER w) AS after
+      FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW w AS (ORDER BY doc_id NULLS FIRST, t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+"""

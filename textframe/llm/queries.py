@@ -50,10 +50,27 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.report(table(spark, sf_dir, "pages"))
 
 
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op1."""
+    return fingerprint.texts(table(spark, sf_dir, "documents"))
+
+
+def base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op7."""
+    return secrets.base(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_fingerprints, op2_language, op3_toxicity, op4_decontaminate, op5_repeats, op6_pieces, op7_secrets, op8_simhash, op9_warc, op10_urls)
+    named = (op1_fingerprints, op2_language, op3_toxicity, op4_decontaminate, op5_repeats, op6_pieces, op7_secrets, op8_simhash, op9_warc, op10_urls, edited_texts, base_spans)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": decontaminate.SQL, "op9_warc": warc.SQL, "op10_urls": urls.SQL}
+    return {
+        "op4_decontaminate": decontaminate.SQL,
+        "op5_repeats": repeats.SQL,
+        "op9_warc": warc.SQL,
+        "op10_urls": urls.SQL,
+        "edited_texts": fingerprint.TEXTS_SQL,
+        "base_spans": secrets.BASE_SQL,
+    }

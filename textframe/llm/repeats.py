@@ -395,3 +395,21 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def report(docs: DataFrame) -> DataFrame:
     """What op5 returns."""
     return without_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Over all strings, in hex; blocks of 500 bytes, as a position in a long text is dear to reach.
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, -9223372036854775808) AS id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT r, id, o, substr(h, 2 * o + 1, 1098) AS h FROM (SELECT r, id, h, unnest(range(0, len(h) // 2, 500)) AS o FROM d)),
+s AS (SELECT r, id, o + i AS pos, substr(h, 2 * i + 1, 100) AS s FROM (SELECT r, id, o, h, unnest(range(0, least(500, len(h) // 2 - 49))) AS i FROM b)),
+f AS (SELECT s, min(id) AS first FROM s GROUP BY s HAVING min(id) < max(id)),
+g AS (SELECT r, pos FROM s JOIN f USING (s) WHERE id > first),
+n AS (SELECT r, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY r ORDER BY pos) <= 50 THEN 0 ELSE 1 END AS new FROM g),
+u AS (SELECT r, pos, sum(new) OVER (PARTITION BY r ORDER BY pos) AS run FROM n),
+v AS (SELECT r, min(pos) AS a, max(pos) + 50 AS e FROM u GROUP BY r, run),
+p AS (SELECT r, a, e, lag(e, 1, 0) OVER (PARTITION BY r ORDER BY a) AS p FROM v),
+k AS (SELECT r, sum(e - a) AS gone, count(*) AS n, max(e) AS e, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS kept FROM p JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+       sha256(from_hex(coalesce(kept, '') || substr(h, 2 * coalesce(e, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""

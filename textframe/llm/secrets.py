@@ -229,3 +229,32 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, length)))
     return scan(docs, id_col, text_col, keep, spans).withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(F.col(text_col))).select(*docs.columns)
+
+
+def base(docs: DataFrame) -> DataFrame:
+    """The columns of op7 that SQL can say: counts and digest of the base spans."""
+    return report(docs).drop("spans")
+
+
+def _either(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+_WORD = "|".join(_either(x) for x in ("password", "passwd", "secret", "token", "api_?key"))
+#: Kind, pattern, the group that is measured and its least length.
+_BASE = (
+    ("assign", rf"""({_WORD})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("access", "(AKIA[A-Z0-9]+)", 1, 16),
+    ("hex", "([0-9a-f]+)", 1, 32),
+)
+#: Positions come from the lengths of matches and of what lies between them.
+BASE_SQL = "WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),\nm AS (" + " UNION ALL ".join(
+    f"SELECT r, {i} AS k, '{kind}' AS kind, {least} AS least, regexp_extract_all(text, '{p}', 0) AS found, regexp_extract_all(text, '{p}', {group}) AS value, regexp_split_to_array(text, '{p}') AS pieces FROM t"
+    for i, (kind, p, group, least) in enumerate(_BASE)
+) + """),
+i AS (SELECT r, k, kind, least, unnest(found) AS found, unnest(value) AS value, unnest(pieces[1:len(found)]) AS piece, generate_subscripts(found, 1) AS i FROM m WHERE len(found) > 0),
+s AS (SELECT r, k, kind, least, value, sum(length(piece) + length(found)) OVER (PARTITION BY r, k ORDER BY i) AS stop, length(found) AS n FROM i),
+b AS (SELECT r, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS c, count(*) FILTER (k = 2) AS x,
+      string_agg(kind || ':' || CAST(stop - n AS VARCHAR) || ':' || CAST(stop AS VARCHAR), ',' ORDER BY stop - n, k) AS spans FROM s WHERE length(value) >= least GROUP BY r)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(x, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM t LEFT JOIN b USING (r)
+"""
