@@ -62,7 +62,7 @@ _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
 _LETTER = re.compile(r"[^\W\d_]")
 _CACHE = 80_000
 #: Bytes of text that are read together, or one text.
-_PART = 1_500_000
+_PART = 1_000_000
 _SYMBOLS = 28
 _LUT = np.zeros(256, np.int32)
 _LUT[[*range(97, 123)]] = _LUT[[*range(65, 91)]] = np.arange(1, 27)
@@ -345,7 +345,7 @@ def character_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         from textframe.llm._common import parts, utf8
 
         total = np.zeros(_SYMBOLS**3, np.int64)
-        for batch in parts(batches, "text"):
+        for batch in parts(batches, "text", _PART):
             raw, offsets = utf8(batch.column("text"))
             at = _LUT[raw]
             wide = np.zeros(len(at) + 3 * batch.num_rows, np.int32)  # texts are apart from each other
