@@ -121,3 +121,17 @@ def test_records_across_many_splits(spark, put):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got["t"].tolist() == texts
+
+
+def test_small_splits_share_tasks(spark, tmp_path):
+    from textframe import queries
+
+    path = str(tmp_path / "many")
+    write_parts(spark.range(100_000).coalesce(1), path)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.maxPartitionNum")
+    before = [spark.conf.get(x, None) for x in names]
+    with queries._small_splits(spark, path):
+        found = records.lines(spark, path)
+        assert found.select("_file", "_block").distinct().count() > 30
+        assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert [spark.conf.get(x, None) for x in names] == before

@@ -6,7 +6,8 @@ read it back with its reader, and return what was asked of the loaded frame.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -313,17 +314,28 @@ def decode_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 # the reader on files of other shapes
 
 
+@contextmanager
+def _small_splits(spark: SparkSession, path: str) -> Iterator[None]:
+    """Files are cut into splits of 16 kB, of which a task reads some thousand, as starting a task for each takes longer than reading it."""
+    length = sum(n for _, n in spark.read.format("binaryFile").load(path).select("path", "length").collect())
+    tasks = max(spark.sparkContext.defaultParallelism, -(-length // (16 << 20)))
+    wanted = {"spark.sql.files.maxPartitionBytes": "16k", "spark.sql.files.maxPartitionNum": str(tasks)}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 @_query("SELECT CAST(doc_id AS BIGINT) AS doc_id, text FROM documents")
 def records_across_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Splits of 16 kB, so that many texts with line ends begin in one split and end in another."""
     path = _written(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    size = "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(size)
-    spark.conf.set(size, "16k")
-    try:
+    with _small_splits(spark, path):
         return stored(_plain(read_csv(spark, path, allow_quoted_newlines=True, text_names=("text",)).expanded()), "across")
-    finally:
-        spark.conf.set(size, before)
 
 
 @_query("SELECT CAST(l_orderkey AS BIGINT) AS a, CAST(l_partkey AS BIGINT) AS b, count(*) AS n FROM lineitem GROUP BY ALL")
