@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,15 +67,53 @@ def _decoded_unit(unit: Column) -> Column:
     return out.otherwise(code_point_bytes(code))
 
 
+def _byte_lit(byte: int) -> Column:
+    """A string of one byte, which in UTF-8 stands nowhere."""
+    return F.lit(bytearray([byte])).cast("string")
+
+
+def _replaced(text: Column, pairs: dict[str, str]) -> Column:
+    for old, new in pairs.items():
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
 def unescape(text: Column) -> Column:
-    """Decodes backslash escapes; a lone backslash at the end goes, too few hex digits are an error."""
+    """Decodes backslash escapes; a lone backslash at the end goes, too few hex digits are an error.
+
+    Valid UTF-8 is decoded by replacing the whole text escape by escape; what that can't do is decoded unit by unit.
+    """
+
+    def units(cell: Column) -> Column:
+        found = F.regexp_extract_all(to_latin1(cell), F.lit(_UNIT), F.lit(0))
+        return from_latin1(F.array_join(F.transform(found, _decoded_unit), ""))
+
+    def quick(cell: Column) -> Column:
+        return F.when(cell.contains("\\x"), let(_by_percent(cell), lambda x: F.when(x.isNull(), units(cell)).otherwise(x))).otherwise(let(_by_letters(cell), lambda x: F.when(x.isNull(), units(cell)).otherwise(x)))
+
+    return F.when(text.contains("\\"), let(text, lambda cell: F.when(F.is_valid_utf8(cell), quick(cell)).otherwise(units(cell)))).otherwise(text)
+
+
+#: Escapes of a letter or quote that stand for one character other than a backslash.
+_LETTERS = {f"\\{x}": char for x, char in DECODED.items() if char != "\\"} | {'\\"': '"', "\\'": "'"}
 
 
-    def decoded(cell: Column) -> Column:
-        units = F.regexp_extract_all(to_latin1(cell), F.lit(_UNIT), F.lit(0))
-        return from_latin1(F.array_join(F.transform(units, _decoded_unit), ""))
+def _by_letters(cell: Column) -> Column:
+    """cell decoded; null if there are escapes of another kind than letters and quotes."""
+    slash = _byte_lit(0xFF)
+    # pairs of backslashes first, so that each one left begins an escape
+    marked = F.replace(F.replace(cell, F.lit("\\\\"), slash), F.lit("\\e"), slash)
+    decoded = lambda x: F.when(~x.contains("\\"), F.replace(x, slash, F.lit("\\")))
+    return let(let(marked, lambda x: F.when(x.contains("\\"), _replaced(x, _LETTERS)).otherwise(x)), decoded)
 
-    return F.when(text.contains("\\"), let(text, decoded)).otherwise(text)
+
+def _by_percent(cell: Column) -> Column:
+    """cell decoded as a URL is, with its escapes written that way; null if there are code points, or bytes that aren't UTF-8."""
+    percent = {"%": "%25", "+": "%2B", "\\\\": "%5C", "\\e": "%5C"} | {x: f"%{ord(char):02X}" for x, char in _LETTERS.items()}
+    # its digits may be of any script, those of an escape may not
+    digits = F.when(~cell.rlike(r"\\x(?![0-9a-fA-F]{2})"), F.replace(_replaced(cell, percent), F.lit("\\x"), F.lit("%")))
+    decoded = let(digits, lambda x: F.when(~x.contains("\\"), F.try_url_decode(x)))
+    return let(decoded, lambda x: F.when(~x.contains("\ufffd"), x))
 
 
 def null_to_space(text: Column) -> Column:
@@ -92,6 +131,28 @@ def _escaped(char: Column) -> Column:
     return out.otherwise(_byte(char))
 
 
+def _ascii(printable: bool, newlines: bool) -> Callable[[Column], Column]:
+    """A function of bytes, in Python, whose codecs write bytes beyond ASCII as `\\xhh` without a look at each."""
+    pairs = [(x.encode(), ENCODED[x].encode()) for x in ("\\", '"', "'", *("\n" * newlines))] + [(b"\x7f", b"\\x7f")]
+    if printable:
+        pairs = dict(pairs) | {bytes([i]): ENCODED.get(chr(i), f"\\x{i:02x}").encode() for i in range(0x20)}
+        pairs = list(pairs.items())
+
+    def encoded(data: bytes | None) -> bytes | None:
+        if data is None:
+            return None
+        for raw, shown in pairs:
+            if raw in data:
+                data = data.replace(raw, shown)
+        return data if data.isascii() else data.decode("latin-1").encode("ascii", "backslashreplace")
+
+    @F.arrow_udf("binary")
+    def escaped(texts: pa.Array) -> pa.Array:
+        return pa.array([encoded(x) for x in texts.to_pylist()], pa.binary())
+
+    return escaped
+
+
 def escape(text: Column, out_encoding: str = "arbitrary", newlines: bool = False) -> Column:
     """Escapes a cell for writing; newlines: line ends are escaped too.
 
@@ -101,29 +162,25 @@ def escape(text: Column, out_encoding: str = "arbitrary", newlines: bool = False
     if out_encoding not in ("arbitrary", "utf-8", "ascii", "printable_ascii"):
         raise ValueError(f"unknown out_encoding {out_encoding!r}")
     odd = "\"'\\\\" + ("\\n" if newlines else "")
-    if out_encoding == "ascii":
-        odd += r"\x7f-\xff"
-    if out_encoding == "printable_ascii":
-        odd += r"\x00-\x1f\x7f-\xff"
     pick = lambda unit: F.when(unit.rlike(rf"\A[{odd}]\z"), _escaped(unit)).otherwise(unit)
     units = lambda latin: F.regexp_extract_all(latin, F.lit(rf"[{odd}]|[^{odd}]+"), F.lit(0))
 
+    if out_encoding in ("ascii", "printable_ascii"):
+        return _ascii(out_encoding == "printable_ascii", newlines)(text.cast("binary")).cast("string")
+
     def slow(cell: Column) -> Column:
-        latin = to_latin1(cell)
-        inner = F.array_join(F.transform(units(latin), pick), "")
+        own = _replaced(cell, {x: ENCODED[x] for x in ("\\", '"', "'", *("\n" * newlines))})
         if out_encoding != "utf-8":
-            return from_latin1(inner)
+            return own
+        latin = to_latin1(cell)
         whole = F.regexp_extract_all(latin, F.lit(rf"(?:{_VALID})+|[\s\S]"), F.lit(0))
         stray = lambda u: (F.length(u) == 1) & (F.ascii(u) >= 0x80)
         strict = F.transform(whole, lambda u: F.when(stray(u), _byte(u)).otherwise(F.array_join(F.transform(units(u), pick), "")))
-        return from_latin1(F.when(F.is_valid_utf8(cell), inner).otherwise(F.array_join(strict, "")))
+        return F.when(F.is_valid_utf8(cell), own).otherwise(from_latin1(F.array_join(strict, "")))
 
     quick = text.contains("\\") | text.contains('"') | text.contains("'")
     if newlines:
         quick = quick | text.contains("\n")
-    if out_encoding in ("ascii", "printable_ascii"):
-        beyond = r"[^\x00-\x7e]" if out_encoding == "ascii" else r"[^\x20-\x7e]"
-        quick = quick | text.rlike(beyond)
     if out_encoding == "utf-8":
         quick = quick | ~F.is_valid_utf8(text)
     return F.when(quick, let(text, slow)).otherwise(text)
