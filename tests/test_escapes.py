@@ -28,3 +28,10 @@ def test_ascii_is_written_in_batches(spark):
     column = escapes.escape(F.col("t"), "printable_ascii")
     assert _values(spark, ["é\x7f\n\x00'".encode(), b"\xff\\", b""], column) == [rb"\xc3\xa9\x7f\n\x00\'", rb"\xff\\", b""]
     assert "ArrowEvalPython" in spark.range(1).select(F.lit("é").alias("t")).select(column)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_code_points_are_decoded_at_once(spark):
+    texts = {rb"\u00e9\u005c\\u00e9\U0001F600\u00e9\n": "é\\\\u00e9😀é\n".encode(), b"".join(rb"\u00%02x" % i for i in range(65, 65 + 17)): None, rb"\u12": None}
+    assert _values(spark, texts, escapes._by_letters(F.col("t"))) == list(texts.values())
+    many = b"".join(rb"\u00%02x" % i for i in range(65, 65 + 17))
+    assert _values(spark, [many], escapes.unescape(F.col("t"))) == [bytes(range(65, 65 + 17))]

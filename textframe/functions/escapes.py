@@ -88,23 +88,38 @@ def unescape(text: Column) -> Column:
         found = F.regexp_extract_all(to_latin1(cell), F.lit(_UNIT), F.lit(0))
         return from_latin1(F.array_join(F.transform(found, _decoded_unit), ""))
 
-    def quick(cell: Column) -> Column:
-        return F.when(cell.contains("\\x"), let(_by_percent(cell), lambda x: F.when(x.isNull(), units(cell)).otherwise(x))).otherwise(let(_by_letters(cell), lambda x: F.when(x.isNull(), units(cell)).otherwise(x)))
+    def decoded(cell: Column) -> Column:
+        quick = F.when(F.is_valid_utf8(cell), F.when(cell.contains("\\x"), _by_percent(cell)).otherwise(_by_letters(cell)))
+        return let(quick, lambda x: F.when(x.isNull(), units(cell)).otherwise(x))
 
-    return F.when(text.contains("\\"), let(text, lambda cell: F.when(F.is_valid_utf8(cell), quick(cell)).otherwise(units(cell)))).otherwise(text)
+    return F.when(text.contains("\\"), let(text, decoded)).otherwise(text)
 
 
+#: So many different escapes of code points are replaced in the whole text.
+_POINTS = 16
+_POINT = r"\\(?:u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8})"
 #: Escapes of a letter or quote that stand for one character other than a backslash.
 _LETTERS = {f"\\{x}": char for x, char in DECODED.items() if char != "\\"} | {'\\"': '"', "\\'": "'"}
 
 
 def _by_letters(cell: Column) -> Column:
-    """cell decoded; null if there are escapes of another kind than letters and quotes."""
+    """cell decoded; null if there are escapes of another kind than letters, quotes and at most `_POINTS` code points."""
     slash = _byte_lit(0xFF)
+
+    def point(x: Column, unit: Column) -> Column:
+        """All escapes like the first one of a code point."""
+        code = F.conv(F.substring(unit, 3, 8), 16, 10).cast("long")
+        return F.when(unit != "", F.replace(x, unit, F.when(code == ord("\\"), slash).otherwise(from_latin1(code_point_bytes(code))))).otherwise(x)
+
+    def points(x: Column) -> Column:
+        more = lambda x: let(F.regexp_extract(x, _POINT, 0), lambda unit: point(x, unit))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(_POINTS)), x, lambda x, _: F.when(x.contains("\\"), more(x)).otherwise(x))
+
     # pairs of backslashes first, so that each one left begins an escape
     marked = F.replace(F.replace(cell, F.lit("\\\\"), slash), F.lit("\\e"), slash)
     decoded = lambda x: F.when(~x.contains("\\"), F.replace(x, slash, F.lit("\\")))
-    return let(let(marked, lambda x: F.when(x.contains("\\"), _replaced(x, _LETTERS)).otherwise(x)), decoded)
+    letters = let(marked, lambda x: F.when(x.contains("\\"), _replaced(x, _LETTERS)).otherwise(x))
+    return let(let(letters, lambda x: F.when(x.contains("\\u") | x.contains("\\U"), points(x)).otherwise(x)), decoded)
 
 
 def _by_percent(cell: Column) -> Column:
