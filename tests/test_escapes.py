@@ -35,3 +35,22 @@ def test_code_points_are_decoded_at_once(spark):
     assert _values(spark, texts, escapes._by_letters(F.col("t"))) == list(texts.values())
     many = b"".join(rb"\u00%02x" % i for i in range(65, 65 + 17))
     assert _values(spark, [many], escapes.unescape(F.col("t"))) == [bytes(range(65, 65 + 17))]
+
+
+def test_quotes_are_counted_without_patterns(spark):
+    from textframe.sources.records import quote_count
+
+    texts = {b'"a"': 2, rb'"\"\\"\\\"': 2, rb'\\\\"': 1, b'\\"': 0, b"": 0, b'\xff"\\': 1}
+    counts = quote_count(F.col("t"))
+    assert [int(x) for x in _values(spark, texts, counts.cast("string"))] == list(texts.values())
+    assert "regexp" not in str(counts)
+
+
+def test_cells_without_escaped_quotes_need_no_pattern(spark, monkeypatch):
+    from textframe.functions import lexing
+
+    texts = {b'"a, b"': b"a, b", b'"it\\\'s" "x"': b"it's x", rb'"\\\"\n"': b'\\"\n', b'"\xff\\"': b'\xff"'}
+    assert _values(spark, texts, lexing.cell_text(F.col("t"))) == list(texts.values())
+    monkeypatch.setattr(lexing, "_ESCAPE_OR_QUOTE", "(")  # no pattern at all: fails where it is used
+    plain = list(texts)[:2]
+    assert _values(spark, plain, lexing.cell_text(F.col("t"))) == [texts[x] for x in plain]

@@ -198,7 +198,7 @@ def cell_string(token: Column, quoted: Column, options: ReadOptions) -> Column:
     empty = F.lit("") if options.empty_cell == "zero" else F.lit(None).cast("string")
 
     def text(cell: Column) -> Column:
-        return null_to_space(lexing.cell_text(cell)) if options.convert_null_to_space else lexing.cell_text(cell)
+        return let(lexing.cell_text(cell), null_to_space) if options.convert_null_to_space else lexing.cell_text(cell)
 
     def other(cell: Column) -> Column:
         kind, real = classify.cell_class(cell), classify.float_text(classify.double_value(cell))

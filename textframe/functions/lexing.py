@@ -22,7 +22,7 @@ def tokens(record: Column) -> Column:
     plain = F.split(F.when(record.contains("\r"), F.replace(record, F.lit("\r"), F.lit(""))).otherwise(record), ",", -1)
 
     def lexed(text: Column) -> Column:
-        lone = F.length(F.regexp_extract(text, r"(\\*)\z", 1)) % 2 == 1
+        lone = F.when(text.endswith("\\"), F.length(F.regexp_extract(text, r"(\\+)\z", 1)) % 2 == 1).otherwise(False)
         cut = F.when(lone, F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
         return let(F.when(cut.contains("\r"), F.regexp_replace(cut, _QUOTED_OR_CR, "$1$2")).otherwise(cut), matched)
 
@@ -44,7 +44,7 @@ def number_tokens(record: Column) -> Column:
 def is_quoted(token: Column) -> Column:
     """Whether any part of a raw cell is in quotes."""
     bare = F.regexp_replace(token, r"\\[\s\S]", "")
-    return F.when(token.contains('"'), bare.contains('"')).otherwise(False)
+    return F.when(token.startswith('"'), True).when(token.contains('"'), bare.contains('"')).otherwise(False)
 
 
 def cell_text(token: Column) -> Column:
@@ -53,7 +53,9 @@ def cell_text(token: Column) -> Column:
     bare = lambda text: F.regexp_replace(text, _ESCAPE_OR_QUOTE, "$1")
 
     def slow(cell: Column) -> Column:
-        return unescape(F.when(F.is_valid_utf8(cell), bare(cell)).otherwise(from_latin1(let(to_latin1(cell), bare))))
+        # where no quote can be escaped, they all go
+        matched = F.when(F.is_valid_utf8(cell), bare(cell)).otherwise(from_latin1(let(to_latin1(cell), bare)))
+        return let(F.when(cell.contains('\\"'), matched).otherwise(F.replace(cell, F.lit('"'), F.lit(""))), unescape)
 
     return F.when(token.contains('"') | token.contains("\\"), let(token, slow)).otherwise(token)
 

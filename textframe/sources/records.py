@@ -39,8 +39,11 @@ def text_files(spark: SparkSession, path: str) -> list[str]:
 
 def quote_count(value: Column) -> Column:
     """Quotes of a line that are not escaped."""
-    bare = F.regexp_replace(value, r"\\[\s\S]", "")
-    return F.when(value.contains('"'), F.length(F.regexp_replace(bare, r'[^"]', ""))).otherwise(0)
+    every = F.octet_length(value) - F.octet_length(F.replace(value, F.lit('"'), F.lit("")))
+    # without pairs of backslashes, one before a quote escapes it
+    single = F.replace(value, F.lit("\\\\"), F.lit(""))
+    escaped = F.octet_length(single) - F.octet_length(F.replace(single, F.lit('\\"'), F.lit("\\")))
+    return F.when(value.contains('\\"'), every - escaped).when(value.contains('"'), every).otherwise(0)
 
 
 def end_escaped(value: Column) -> Column:
