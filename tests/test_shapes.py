@@ -135,3 +135,15 @@ def test_small_splits_share_tasks(spark, tmp_path):
         assert found.select("_file", "_block").distinct().count() > 30
         assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
     assert [spark.conf.get(x, None) for x in names] == before
+
+
+def test_codes_and_levels_are_joined_as_arrays(spark, monkeypatch):
+    from textframe import queries
+
+    keys, codes, names = np.array([7, 5, 9], "int32"), np.array([1, 0, 1], "uint8"), np.array(["x", "é"], object)
+    monkeypatch.setattr(type(spark), "_createFromLocal", lambda *_: pytest.fail("rows"), raising=False)
+    frame = queries._joined_again(spark, keys, codes, names)
+    assert frame.dtypes == [("o_orderkey", "bigint"), ("o_orderpriority", "string")]
+    assert [tuple(x) for x in frame.collect()] == [(7, "é"), (5, "x"), (9, "é")]
+    none = queries._joined_again(spark, keys[:0], codes[:0], names[:0])
+    assert none.dtypes == frame.dtypes and none.count() == 0

@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -422,13 +424,17 @@ def raw_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, semantics string, levels bigint, n bigint")
 
 
+def _joined_again(spark: SparkSession, keys: np.ndarray, codes: np.ndarray, names: np.ndarray) -> DataFrame:
+    """Keys and the levels of codes, from arrays as they are; a tuple for each row would take the driver's memory and time."""
+    found = pa.array(names, pa.string()).take(pa.array(codes.astype("int64")))
+    return spark.createDataFrame(pa.table({"o_orderkey": pa.array(keys.astype("int64")), "o_orderpriority": found}))
+
+
 @_query("SELECT o_orderkey, l.o_orderpriority FROM orders o JOIN (SELECT DISTINCT o_orderpriority FROM orders) l USING (o_orderpriority)")
 def dict_codes_and_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrays by name with codes, and their levels, put together again."""
     frame, names = _again(_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")).to_dict()
-    found = names["o_orderpriority"]
-    rows = [(int(k), found[c]) for k, c in zip(frame["o_orderkey"], frame["o_orderpriority"], strict=True)]
-    return spark.createDataFrame(rows, "o_orderkey bigint, o_orderpriority string")
+    return _joined_again(spark, frame["o_orderkey"], frame["o_orderpriority"], names["o_orderpriority"])
 
 
 # diagnostics
