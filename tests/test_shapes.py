@@ -147,3 +147,16 @@ def test_codes_and_levels_are_joined_as_arrays(spark, monkeypatch):
     assert [tuple(x) for x in frame.collect()] == [(7, "é"), (5, "x"), (9, "é")]
     none = queries._joined_again(spark, keys[:0], codes[:0], names[:0])
     assert none.dtypes == frame.dtypes and none.count() == 0
+
+
+def test_columns_that_are_set_to_text_are_not_inferred(spark, put, monkeypatch):
+    from textframe.plans import infer
+
+    cells = ["0", "30", "-7", "007", "-0", "1.5", "", "?", "123456789012345678", "12345678901234567890", "x"]
+    path = put(("a,b\n" + "".join(f"{x},{i}\n" for i, x in enumerate(cells))).encode())
+    frame = read_csv(spark, path, text_names="a")
+    assert [c.dtype for c in frame.columns] == ["string", "uint8"]
+    monkeypatch.setattr(infer.classify, "cell_class", lambda *_: pytest.fail("inferred"))
+    assert [c.semantics for c in read_csv(spark, path, text_names=("a", "b")).columns] == ["text", "text"]
+    monkeypatch.undo()
+    assert frame.to_pandas()["a"].tolist() == ["0", "30", "-7", "7", "0", "1.500000", "", "nan", "123456789012345678", "12345679395506094000.000000", "x"]

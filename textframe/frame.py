@@ -206,7 +206,7 @@ def cell_string(token: Column, quoted: Column, options: ReadOptions) -> Column:
         return F.when(kind == "integer", number).when(kind == "float", real).when(kind == "missing", "nan").when(kind == "empty", empty).otherwise(text(cell))
 
     # what begins like no number is told apart without their patterns
-    return F.when(quoted | token.rlike(r"\A[^\s0-9.?nN-]"), text(token)).otherwise(let(token, other))
+    return F.when(quoted | token.rlike(r"\A[^\s0-9.?nN-]"), text(token)).when(token.rlike(classify.PLAIN), token).otherwise(let(token, other))
 
 
 def _value(i: int, info: ColumnInfo, options: ReadOptions) -> Column:

@@ -19,6 +19,8 @@ _NUMBER_ONLY = r"\A[ \t\n\x0B\f\r]*(-?[0-9]*)"
 #: Whole numbers that any cast takes, and whatever is an integer or a float.
 SHORT = r"\A[ \t\n\x0B\f\r]*-?[0-9]{1,18}\z"
 NUMBER = r"\A[ \t\n\x0B\f\r]*-?(?:[0-9]+|[0-9]*\.[0-9]+|(?:[0-9]+\.?[0-9]*|\.[0-9]+)[eE][+-]?[0-9]+)\z"
+#: Whole numbers that are written as they are read.
+PLAIN = r"\A(?:0|-?[1-9][0-9]{0,17})\z"
 BLANKS = " \t\n\v\f\r"
 
 

@@ -71,6 +71,10 @@ class ReadOptions:
                 return meaning
         return None
 
+    def settled(self, name: str) -> bool:
+        """Whether a column is one of texts whatever its cells are."""
+        return self.forced(name) == "text" or self.forced(name) == "cat" and (self.number_only or not self.limits)
+
 
 @dataclass(frozen=True)
 class WriteOptions:

@@ -64,10 +64,15 @@ def profile(cells: DataFrame, names: list[str], options: ReadOptions, text: Call
     """A row of aggregates for each column, by its place. cells: an array of raw cells `_t` for each record.
 
     Cells are put below each other and grouped by their place, so the plan has one classifier and
-    a few sums however many columns there are; each task gives a row for each column.
+    a few sums however many columns there are; each task gives a row for each column. Columns whose
+    meaning and type the caller has set have no row, and where all are set, nothing is read.
     text: the text of a raw cell, given the cell and whether it is quoted.
     """
-    each = cells.select(F.posexplode("_t").alias("i", "t"))
+    wanted = [i for i, name in enumerate(names) if not options.settled(name)]
+    if not wanted:
+        return {}
+    some = F.array(*(F.struct(F.lit(i).alias("i"), F.col("_t")[i].alias("t")) for i in wanted))
+    each = cells.select(F.inline(some)) if len(wanted) < len(names) else cells.select(F.posexplode("_t").alias("i", "t"))
     cell = F.col("t")
     kind, number, whole = F.col("kind"), F.col("number"), F.col("whole")
     if options.number_only:
@@ -89,13 +94,13 @@ def profile(cells: DataFrame, names: list[str], options: ReadOptions, text: Call
     if not options.number_only and options.empty_cell == "zero":
         value = F.coalesce(value, F.when(kind == "empty", F.lit(0).cast("bigint")))
     fraction = (kind == "missing") | ((kind == "float") & ~F.coalesce(_whole(number), F.lit(False))) | ((kind == "integer") & whole.isNull())
-    wanted = [F.count_if(kind == "string").alias("strings"), F.min(value).alias("low"), F.max(value).alias("high"), F.max(F.coalesce(fraction, F.lit(False))).alias("fractions")]
+    sums = [F.count_if(kind == "string").alias("strings"), F.min(value).alias("low"), F.max(value).alias("high"), F.max(F.coalesce(fraction, F.lit(False))).alias("fractions")]
     if options.limits and not options.number_only:
-        wanted.append(F.max(F.octet_length("shown")).alias("longest"))
+        sums.append(F.max(F.octet_length("shown")).alias("longest"))
         if options.max_levels is not None:
             # 96 bits of hashes stand for the texts, which are not shuffled
-            wanted.append(F.count_distinct(F.when(F.col("shown").isNotNull(), F.struct(F.xxhash64("shown"), F.hash("shown")))).alias("levels"))
-    return {row["i"]: row for row in each.groupBy("i").agg(*wanted).collect()}
+            sums.append(F.count_distinct(F.when(F.col("shown").isNotNull(), F.struct(F.xxhash64("shown"), F.hash("shown")))).alias("levels"))
+    return {row["i"]: row for row in each.groupBy("i").agg(*sums).collect()}
 
 
 def decide(names: list[str], rows: dict[int, Row], options: ReadOptions) -> list[ColumnInfo]:
