@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cached_property
 from typing import Any
 
@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textframe.functions import classify, lexing
+from textframe.functions.bytewise import CLASS, RAW, TEXT
 from textframe.functions.escapes import let, null_to_space
 from textframe.operators import levels as levels_
 from textframe.options import ReadOptions, input_path
 from textframe.plans.infer import SPARK_TYPES, ColumnInfo, code_storage, decide, profile
 from textframe.plans.order import POSITION, in_order
 from textframe.plans.storage import stored
-from textframe.sources.header import Header, find_header, without_header
-from textframe.sources.records import lines, records, text_files
+from textframe.sources.header import Header, find_header
+from textframe.sources.records import QuotedRecords, line_records, lines, text_files
 
 _NUMPY = {"float": "float32"}
 
@@ -32,9 +33,9 @@ class TextFrame:
     aggregates have been read by then.
     """
 
-    def __init__(self, header: Header, columns: list[ColumnInfo], cells: DataFrame | None, options: ReadOptions, spark: SparkSession):
+    def __init__(self, header: Header, columns: list[ColumnInfo], cells: Cells | None, options: ReadOptions, spark: SparkSession):
         self.header, self.columns, self.options, self.spark = header, columns, options, spark
-        self._cells = cells  # position and raw cells
+        self._cells = cells
         self._sizes: dict[int, int] = {}
         self._tables: dict[int, DataFrame] = {}
 
@@ -54,7 +55,14 @@ class TextFrame:
     @cached_property
     def _placed(self) -> DataFrame:
         """Position and values c0, c1, ..."""
-        return values(self._cells, self.columns, self.options)
+        return self._only(range(len(self.columns)))
+
+    def _only(self, wanted: Iterable[int]) -> DataFrame:
+        """Position and the values of some columns, named by their places."""
+        wanted = list(wanted)
+        asked = {i: TEXT if self.columns[i].dtype == "string" else RAW for i in wanted}
+        rows = self._cells.rows(tuple(asked.get(i, CLASS) for i in range(len(self.columns))))
+        return values(rows, self.columns, self.options).select(*POSITION, *(f"c{i}" for i in wanted))
 
     def placed(self) -> DataFrame:
         """The rows' places in the files (`_file`, `_block`, `_row`) and the columns c0, c1, ... in the order of the file."""
@@ -95,7 +103,7 @@ class TextFrame:
 
     def _table(self, i: int) -> DataFrame:
         if i not in self._tables:
-            self._tables[i] = levels_.level_table(self._placed, f"c{i}")
+            self._tables[i] = levels_.level_table(self._only([i]), f"c{i}")
         return self._tables[i]
 
     def levels(self, name: str) -> DataFrame:
@@ -125,7 +133,7 @@ class TextFrame:
     def column(self, name: str) -> DataFrame:
         """One column, expanded; the others are not computed."""
         i = self._at(name)
-        return self._placed.select(self._shown(i, self.columns[i]).alias(name, metadata=self.columns[i].metadata))
+        return self._only([i]).select(self._shown(i, self.columns[i]).alias(name, metadata=self.columns[i].metadata))
 
     def sums(self) -> DataFrame:
         """One row: the sum of each numeric column, and of the byte lengths of each other column."""
@@ -193,8 +201,11 @@ def _numpy(column, info: ColumnInfo) -> np.ndarray:
     return column.to_numpy().astype(kind)
 
 
-def cell_string(token: Column, quoted: Column, options: ReadOptions) -> Column:
-    """The text of a cell in a string column: numbers as if the column had been one of strings from its first cell."""
+def cell_string(token: Column, quoted: Column, options: ReadOptions, done: bool = False) -> Column:
+    """The text of a cell in a string column: numbers as if the column had been one of strings from its first cell.
+
+    done: quoted cells are texts already.
+    """
     empty = F.lit("") if options.empty_cell == "zero" else F.lit(None).cast("string")
 
     def text(cell: Column) -> Column:
@@ -206,14 +217,16 @@ def cell_string(token: Column, quoted: Column, options: ReadOptions) -> Column:
         return F.when(kind == "integer", number).when(kind == "float", real).when(kind == "missing", "nan").when(kind == "empty", empty).otherwise(text(cell))
 
     # what begins like no number is told apart without their patterns
-    return F.when(quoted | token.rlike(r"\A[^\s0-9.?nN-]"), text(token)).when(token.rlike(classify.PLAIN), token).otherwise(let(token, other))
+    plain = token.rlike(r"\A[^\s0-9.?nN-]")
+    told = F.when(quoted, token).when(plain, text(token)) if done else F.when(quoted | plain, text(token))
+    return told.when(token.rlike(classify.PLAIN), token).otherwise(let(token, other))
 
 
-def _value(i: int, info: ColumnInfo, options: ReadOptions) -> Column:
+def _value(i: int, info: ColumnInfo, options: ReadOptions, done: bool) -> Column:
     """The value of a cell, in its column's type."""
     token = F.col(f"t{i}")
     if info.dtype == "string":
-        return cell_string(token, F.lit(False) if options.number_only else F.col(f"q{i}"), options)
+        return cell_string(token, F.lit(False) if options.number_only else F.col(f"q{i}"), options, done)
     kind = SPARK_TYPES[info.dtype]
     zero = F.lit(0) if options.empty_cell == "zero" or options.number_only else F.lit(None)
     nan = F.lit(float("nan"))
@@ -249,12 +262,36 @@ def token_rows(found: DataFrame, n: int, options: ReadOptions) -> DataFrame:
 
 
 def values(rows: DataFrame, columns: list[ColumnInfo], options: ReadOptions, keep: tuple[str, ...] = POSITION) -> DataFrame:
-    """The values c0, c1, ... of the raw cells `_t`, in their columns' types."""
-    n = range(len(columns))
-    rows = rows.select(*keep, *(F.col("_t")[i].alias(f"t{i}") for i in n))
-    if not options.number_only:
+    """The values c0, c1, ... of the cells `_t`, in their columns' types. Raw cells, unless `_q` tells of them."""
+    n, done = range(len(columns)), "_q" in rows.columns
+    told = [F.col("_q")[i].alias(f"q{i}") for i in n] if done else []
+    rows = rows.select(*keep, *(F.col("_t")[i].alias(f"t{i}") for i in n), *told)
+    if not options.number_only and not done:
         rows = rows.select("*", *(lexing.is_quoted(F.col(f"t{i}")).alias(f"q{i}") for i in n))
-    return rows.select(*keep, *(_value(i, c, options).alias(f"c{i}", metadata=c.metadata) for i, c in enumerate(columns)))
+    return rows.select(*keep, *(_value(i, c, options, done).alias(f"c{i}", metadata=c.metadata) for i, c in enumerate(columns)))
+
+
+class Cells:
+    """The cells of a file's records. With quoted newlines they are cut where records are joined, else by expressions."""
+
+    def __init__(self, source: DataFrame, header: Header, files: list[str], options: ReadOptions):
+        self._n, self._options = len(header.names), options
+        self.quoted = options.allow_quoted_newlines and not options.number_only
+        self._records = (QuotedRecords if self.quoted else line_records)(source, header, files, options)
+
+    def rows(self, asked: tuple[str, ...]) -> DataFrame:
+        """Position, the array `_t` of cells, raw or as `Cutter` gives them, and there whether they are quoted (`_q`)."""
+        return self._records.cells(asked) if self.quoted else token_rows(self._records, self._n, self._options)
+
+    def count(self) -> int:
+        return (self._records.frame if self.quoted else self._records).count()
+
+    def profile(self, names: list[str]) -> dict:
+        """Aggregates for inference. Texts are needed where there are limits, raw cells where a column is forced to be numeric."""
+        options = self._options
+        other = TEXT if options.limits else CLASS
+        rows = self.rows(tuple(RAW if options.forced(name) == "num" else other for name in names))
+        return profile(rows, names, options, lambda t, q: cell_string(t, q, options, self.quoted))
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[ColumnInfo] | None = None, **options: Any) -> TextFrame:
@@ -265,7 +302,6 @@ def read_csv(spark: SparkSession, path: str, columns: list[ColumnInfo] | None =
     fit its column is an error or, in a float column, lenient as in inference.
     """
     chosen = ReadOptions(**options)
-    found = records(spark, input_path(path), chosen)
     files = text_files(spark, input_path(path))
     header = find_header(lambda file: lines(spark, file), files, chosen)
     if not header.names:
@@ -273,10 +309,10 @@ def read_csv(spark: SparkSession, path: str, columns: list[ColumnInfo] | None =
     names = list(header.names)
     if columns is not None and [c.name for c in columns] != names:
         raise ValueError(f"columns {[c.name for c in columns]} are given, the file has {names}")
-    rows = token_rows(without_header(found, header, files), len(names), chosen)
+    cells = Cells(lines(spark, input_path(path)), header, files, chosen)
     if columns is None:
-        columns = decide(names, profile(rows, names, chosen, lambda t, q: cell_string(t, q, chosen)), chosen)
-    return TextFrame(header, list(columns), rows, chosen, spark)
+        columns = decide(names, cells.profile(names), chosen)
+    return TextFrame(header, list(columns), cells, chosen, spark)
 
 
 # one call for each form of delivery

@@ -66,20 +66,27 @@ def profile(cells: DataFrame, names: list[str], options: ReadOptions, text: Call
     Cells are put below each other and grouped by their place, so the plan has one classifier and
     a few sums however many columns there are; each task gives a row for each column. Columns whose
     meaning and type the caller has set have no row, and where all are set, nothing is read.
-    text: the text of a raw cell, given the cell and whether it is quoted.
+    text: the text of a cell, given the cell and whether it is quoted. An array `_q` may tell that of each cell.
     """
     wanted = [i for i, name in enumerate(names) if not options.settled(name)]
     if not wanted:
         return {}
-    some = F.array(*(F.struct(F.lit(i).alias("i"), F.col("_t")[i].alias("t")) for i in wanted))
-    each = cells.select(F.inline(some)) if len(wanted) < len(names) else cells.select(F.posexplode("_t").alias("i", "t"))
+    told = "_q" in cells.columns
+    of = lambda i: [F.col("_t")[i].alias("t"), *([F.col("_q")[i].alias("q")] if told else [])]
+    some = F.array(*(F.struct(F.lit(i).alias("i"), *of(i)) for i in wanted))
+    if len(wanted) < len(names):
+        each = cells.select(F.inline(some))
+    elif told:
+        each = cells.select(F.col("_t").alias("t"), F.col("_q").alias("q")).select(F.posexplode(F.arrays_zip("t", "q")).alias("i", "x")).select("i", "x.t", "x.q")
+    else:
+        each = cells.select(F.posexplode("_t").alias("i", "t"))
     cell = F.col("t")
     kind, number, whole = F.col("kind"), F.col("number"), F.col("whole")
     if options.number_only:
         each = each.select("i", "t", classify.number_only_class(cell).alias("kind"))
         real, integer = classify.lenient_double(cell), classify.integer_prefix(cell)
     else:
-        each = each.withColumn("q", lexing.is_quoted(cell))
+        each = each if told else each.withColumn("q", lexing.is_quoted(cell))
         kinds = classify.cell_class(cell, F.col("q"))
         real, integer = classify.double_value(cell), classify.integer_value(cell)
         numeric = [i for i, name in enumerate(names) if options.forced(name) == "num"]

@@ -9,12 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textframe.functions.escapes import DECODED
+from textframe.functions.bytewise import unescape
 from textframe.options import ReadOptions
 from textframe.plans.order import near
 
-_ESCAPE = re.compile(rb"\\(x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[\s\S]|\Z)")
-
 
 @dataclass(frozen=True)
 class Header:
@@ -53,17 +51,7 @@ def split_header(line: bytes) -> list[bytes]:
 
 def decode_name(name: bytes) -> str:
     """A name with its escapes decoded; NUL becomes a space."""
-
-    def one(m: re.Match) -> bytes:
-        x = m[1]
-        if len(x) > 1 and x[:1] in b"xuU":
-            code = int(x[1:], 16)
-            return bytes([code]) if x[:1] == b"x" else chr(code).encode("utf-8", "surrogatepass") if code <= 0x10FFFF else b""
-        if x in (b"x", b"u", b"U"):
-            raise ValueError(f"too few hex digits after the escape \\{x.decode()}")
-        return DECODED.get(x.decode("latin-1"), x.decode("latin-1")).encode("latin-1")
-
-    return _ESCAPE.sub(one, name).replace(b"\0", b" ").decode("utf-8", "replace")
+    return unescape(name).replace(b"\0", b" ").decode("utf-8", "replace")
 
 
 def read_header(source: DataFrame, options: ReadOptions) -> Header:

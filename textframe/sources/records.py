@@ -11,18 +11,24 @@ of a split, which belong to records that cross splits, are grouped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textframe.functions.bytewise import CELLS, Cutter
 from textframe.options import ReadOptions
-from textframe.plans.order import BROADCAST_SPLITS, near
+from textframe.plans.order import BROADCAST_SPLITS, POSITION, near
 from textframe.plans.storage import stored
+from textframe.sources.header import Header, without_header
 
-_SCHEMA = "_file string, _block bigint, _row bigint, value binary, piece string"
+_RECORDS = "_file string, _block bigint, _row bigint, value binary"
+_SCHEMA = f"{_RECORDS}, piece string"
+_CUT = f"_file string, _block bigint, _row bigint, {CELLS}"
+_KINDS = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string())
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -51,21 +57,24 @@ def end_escaped(value: Column) -> Column:
     return F.when(value.endswith("\\"), F.length(F.regexp_extract(value, r"(\\+)\z", 1)) % 2 == 1).otherwise(False)
 
 
-def splits(source: DataFrame) -> DataFrame:
+def splits(source: DataFrame, header: Header) -> DataFrame:
     """A row for each split: whether its first line goes on with a record, whether that is in a quote, whether its
-    last line leaves a quote open (open) or has an escaped end (tail), and whether the file has a last line end (ended)."""
+    last line leaves a quote open (open) or has an escaped end (tail), whether the file has a last line end (ended),
+    and whether a line like the header's first stands in it, unless it is one and begins the file (odd)."""
     value = F.col("value")
+    like = value.cast("binary") == F.lit(bytearray(header.raw.split(b"\n")[0]))
+    heads = [F.min(F.when(~value.isin("", "\r"), F.col("_row"))).alias("first"), F.min(F.when(like, F.col("_row"))).alias("at"), F.count_if(like).alias("n")]
     size = F.sum(F.octet_length(value).cast("long") + 1).alias("size")
-    each = source.groupBy("_file", "_block", "_length").agg(F.sum(quote_count(value)).alias("quotes"), F.max_by(end_escaped(value), "_row").alias("tail"), size)
+    each = source.groupBy("_file", "_block", "_length").agg(F.sum(quote_count(value)).alias("quotes"), F.max_by(end_escaped(value), "_row").alias("tail"), size, *heads)
     ended = F.sum("size").over(Window.partitionBy("_file")) == F.col("_length")
     order = Window.partitionBy("_file").orderBy("_block")
     before = F.coalesce(F.sum("quotes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = before % 2 == 1
-    return each.select("_file", "_block", inside.alias("inside"), (inside | F.coalesce(F.lag("tail").over(order), F.lit(False))).alias("goes_on"), ((before + F.col("quotes")) % 2 == 1).alias("open"), "tail", ended.alias("ended"))
+    return each.select("_file", "_block", inside.alias("inside"), (inside | F.coalesce(F.lag("tail").over(order), F.lit(False))).alias("goes_on"), ((before + F.col("quotes")) % 2 == 1).alias("open"), "tail", ended.alias("ended"), ((F.col("n") > 1) | F.coalesce(F.col("at") > F.col("first"), F.lit(False))).alias("odd"))
 
 
-def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Joins the lines of each split to records; 'head', 'middle' and 'tail' pieces cross splits."""
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list, list, list]]:
+    """Joins the lines of each split to records: lists of `_SCHEMA`; 'head', 'middle' and 'tail' pieces cross splits."""
     now, waiting, row, inside, goes_on = None, [], 0, False, False
     files, blocks, rows, values, pieces = [], [], [], [], []
 
@@ -78,14 +87,8 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces.append(piece)
         waiting = []
 
-    def out() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(blocks, pa.int64()), pa.array(rows, pa.int64()), pa.array(values, pa.binary()), pa.array(pieces, pa.string())], ["_file", "_block", "_row", "value", "piece"])
-        for x in (files, blocks, rows, values, pieces):
-            x.clear()
-        return batch
-
     for batch in batches:
-        value = batch.column("value")
+        value = batch.column("value").to_pylist()
         quotes, tails = batch.column("quotes").to_numpy(zero_copy_only=False), batch.column("tail").to_numpy(zero_copy_only=False)
         block, at = batch.column("_block").to_numpy(zero_copy_only=False), batch.column("_row").to_numpy(zero_copy_only=False)
         names = batch.column("_file").dictionary_encode()
@@ -104,52 +107,138 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 files += [now[0]] * (e - s)
                 blocks += [now[1]] * (e - s)
                 rows += at[s:e].tolist()
-                values += value.slice(s, e - s).to_pylist()
+                values += value[s:e]
                 pieces += [None] * (e - s)
                 continue
             a = s
             for end in (ends + s).tolist():
                 row = row if waiting else int(at[a])
-                waiting += value.slice(a, end + 1 - a).to_pylist()
+                waiting += value[a : end + 1]
                 give("head" if goes_on else None)
                 goes_on, a = False, end + 1
             if a < e:
                 row = row if waiting else int(at[a])
-                waiting += value.slice(a, e - a).to_pylist()
+                waiting += value[a:e]
         if values:
-            yield out()
+            yield files, blocks, rows, values, pieces
+            files, blocks, rows, values, pieces = [], [], [], [], []
     if waiting:
         give("middle" if goes_on else "tail")
     if values:
-        yield out()
-
-
-def quoted_records(source: DataFrame) -> DataFrame:
-    """(_file, _block, _row, value) for each record of lines, joined over quoted and escaped line ends."""
-    known = stored(splits(source), "splits")
-    last = known.groupBy("_file").agg(F.max_by(F.struct("open", "tail", "ended"), "_block").alias("x")).select("_file", "x.*")
-    ends = last.agg(F.min(F.when(F.col("open"), F.col("_file"))).alias("wrong"), F.count_if(F.col("tail") & F.col("ended")).alias("kept")).first()
-    if ends["wrong"]:
-        raise ValueError(f"the file ends with an open quote: {ends['wrong']}")
-    n, crosses = known.agg(F.count(F.lit(1)), F.max("goes_on")).first()
-    of = known.select(F.col("_file").alias("_f"), F.col("_block").alias("_b"), "inside", "goes_on")
-    rows = source.join(near(of, n), (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
-    rows = rows.select("_file", "_block", "_row", F.col("value").cast("binary").alias("value"), quote_count(F.col("value")).alias("quotes"), end_escaped(F.col("value")).alias("tail"), "inside", "goes_on")
-    if n > BROADCAST_SPLITS:
-        rows = rows.repartition("_file", "_block").sortWithinPartitions("_file", "_block", "_row")
-    made = rows.mapInArrow(_assemble, _SCHEMA)
-    found = made.select("_file", "_block", "_row", F.col("value").cast("string").alias("value"), "piece")
-    if crosses:
-        # at most two pieces for each split, joined once; what reads the records later passes over them
-        joined = stored(_crossing(made.filter("piece is not null")), "crossing").withColumn("value", F.col("value").cast("string"))
-        found = found.filter("piece is null").drop("piece").union(joined)
-    found = found.select("_file", "_block", "_row", "value")
-    if not ends["kept"]:
-        return found
-    kept = last.filter("tail and ended").select(F.col("_file").alias("_f"))
-    # a file's last line end is data if it is escaped; the line reader has taken it away
-    found = found.join(near(kept, ends["kept"]), F.col("_file") == F.col("_f"), "left")
-    return found.select("_file", "_block", "_row", F.when(F.col("_f").isNotNull() & end_escaped(F.col("value")), F.concat("value", F.lit("\n"))).otherwise(F.col("value")).alias("value"))
+        yield files, blocks, rows, values, pieces
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces that cross splits."""
+    for lists in _joined(batches):
+        lists = _at([i for i, piece in enumerate(lists[4]) if piece], lists)
+        if lists[0]:
+            yield _batch(_SCHEMA, [pa.array(x, kind) for x, kind in zip(lists, _KINDS, strict=True)])
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list, list, list]]:
+    """`_joined` without the pieces that cross splits."""
+    for lists in _joined(batches):
+        yield _at([i for i, piece in enumerate(lists[4]) if not piece], lists)
+
+
+def _at(places: list[int], lists: tuple[list, ...]) -> tuple[list, ...]:
+    return lists if len(places) == len(lists[0]) else tuple([x[i] for i in places] for x in lists)
+
+
+def _records(source: Callable) -> Callable:
+    """A function of batches that gives the records of source."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lists in source(batches):
+            yield _batch(_RECORDS, [pa.array(x, kind) for x, kind in zip(lists, _KINDS, strict=False)][:4])
+
+    return found
+
+
+def _batch(schema: str, columns: list[pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
+
+
+def _cut(source: Callable, cutter: Cutter, keep: Callable[[int, int, bytes], bool]) -> Callable:
+    """A function of batches that cuts the records of source to cells; those that are blank or not to be kept have gone."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lists in source(batches):
+            at = [i for i, (block, row, value) in enumerate(zip(*lists[1:4], strict=True)) if value not in (b"", b"\r") and keep(block, row, value)]
+            files, blocks, rows, values, _ = _at(at, lists)
+            places = [pa.array(x, kind) for x, kind in zip((files, blocks, rows), _KINDS, strict=False)]
+            yield _batch(_CUT, [*places, *cutter(values, files, blocks)])
+
+    return cells
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list, list, list]]:
+    """Batches of records as `_joined` gives them."""
+    for batch in batches:
+        files, blocks, rows, values = (batch.column(x).to_pylist() for x in (*POSITION, "value"))
+        yield files, blocks, rows, values, [None] * len(values)
+
+
+class QuotedRecords:
+    """The records of lines, joined over quoted and escaped line ends, without blank ones and the header."""
+
+    def __init__(self, source: DataFrame, header: Header, files: list[str], options: ReadOptions):
+        self.header, self.files, self.options = header, files, options
+        known = stored(splits(source, header), "splits")
+        self.last = known.groupBy("_file").agg(F.max_by(F.struct("open", "tail", "ended"), "_block").alias("x")).select("_file", "x.*")
+        ends = self.last.agg(F.min(F.when(F.col("open"), F.col("_file"))).alias("wrong"), F.count_if(F.col("tail") & F.col("ended")).alias("kept")).first()
+        if ends["wrong"]:
+            raise ValueError(f"the file ends with an open quote: {ends['wrong']}")
+        self.kept = ends["kept"]
+        n, crosses, self.odd = known.agg(F.count(F.lit(1)), F.max("goes_on"), F.max(F.col("odd") & (F.col("_block") == 0))).first()
+        of = known.select(F.col("_file").alias("_f"), F.col("_block").alias("_b"), "inside", "goes_on")
+        rows = source.join(near(of, n), (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
+        rows = rows.select("_file", "_block", "_row", F.col("value").cast("binary").alias("value"), quote_count(F.col("value")).alias("quotes"), end_escaped(F.col("value")).alias("tail"), "inside", "goes_on")
+        if n > BROADCAST_SPLITS:
+            rows = rows.repartition("_file", "_block").sortWithinPartitions("_file", "_block", "_row")
+        self.rows = rows
+        # at most two pieces for each split, joined once; what reads the records later passes over them. If no record
+        # crosses splits, a piece is the last record of a file whose end is escaped
+        self.joined = _whole if crosses else _joined
+        self.crossing = stored(_crossing(rows.mapInArrow(_pieces, _SCHEMA)), "crossing") if crosses else None
+
+    @cached_property
+    def frame(self) -> DataFrame:
+        """(_file, _block, _row, value) for each record."""
+        found = self.rows.mapInArrow(_records(self.joined), _RECORDS)
+        if self.crossing is not None:
+            found = found.union(self.crossing)
+        found = found.withColumn("value", F.col("value").cast("string"))
+        if self.kept:
+            kept = self.last.filter("tail and ended").select(F.col("_file").alias("_f"))
+            # a file's last line end is data if it is escaped; the line reader has taken it away
+            found = found.join(near(kept, self.kept), F.col("_file") == F.col("_f"), "left")
+            found = found.select("_file", "_block", "_row", F.when(F.col("_f").isNotNull() & end_escaped(F.col("value")), F.concat("value", F.lit("\n"))).otherwise(F.col("value")).alias("value"))
+        return _spread(without_header(_filled(found), self.header, self.files), self.options)
+
+    def cells(self, asked: tuple[str, ...]) -> DataFrame:
+        """Position and the arrays `_t` of cells and `_q` of whether they are quoted; asked: as of `Cutter`.
+
+        Records are cut in the tasks that join them, without another way to Python and back, unless the
+        header or an escaped end of a file has to be told by other rows.
+        """
+        cutter = Cutter(asked, self.options.convert_null_to_space)
+        header, several = self.header, len(self.files) > 1
+        if self.kept or (several and header.present and self.odd):
+            return self._by_rows(self.frame, _cut(_listed, cutter, lambda block, row, value: True))
+        if several:
+            keep = lambda block, row, value: block or not header.present or value != header.raw
+        else:
+            first = (header.block, header.row + header.present)
+            keep = lambda block, row, value: (block, row) >= first
+        found = self.rows.mapInArrow(_cut(self.joined, cutter, keep), _CUT)
+        if self.crossing is not None:
+            found = found.union(self._by_rows(self.crossing, _cut(_listed, cutter, keep)))
+        return _spread(found, self.options)
+
+    def _by_rows(self, records: DataFrame, cut: Callable) -> DataFrame:
+        return records.select(*POSITION, F.col("value").cast("binary").alias("value")).mapInArrow(cut, _CUT)
 
 
 def _crossing(made: DataFrame) -> DataFrame:
@@ -161,13 +250,16 @@ def _crossing(made: DataFrame) -> DataFrame:
     return joined.select("_file", F.col("x")[0]["_block"].alias("_block"), F.col("x")[0]["_row"].alias("_row"), F.encode(text, "ISO-8859-1").alias("value"))
 
 
-def records(spark: SparkSession, path: str, options: ReadOptions) -> DataFrame:
-    """(_file, _block, _row, value) for each record that isn't empty."""
-    found = lines(spark, path)
-    if options.allow_quoted_newlines and not options.number_only:
-        found = quoted_records(found)
-    found = found.filter((F.col("value") != "") & (F.col("value") != "\r"))
+def _filled(found: DataFrame) -> DataFrame:
+    return found.filter((F.col("value") != "") & (F.col("value") != "\r"))
+
+
+def _spread(found: DataFrame, options: ReadOptions) -> DataFrame:
     if options.num_threads and found.rdd.getNumPartitions() < options.num_threads:
         found = found.repartition(options.num_threads)  # rows carry their places, so any order will do
     return found
 
+
+def line_records(source: DataFrame, header: Header, files: list[str], options: ReadOptions) -> DataFrame:
+    """(_file, _block, _row, value) for each line that isn't blank or the header."""
+    return without_header(_spread(_filled(source), options), header, files)
