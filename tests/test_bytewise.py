@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import textframe as tf
 from textframe import frame as frame_
 from textframe.functions import bytewise, lexing
+from textframe.operators import diagnostics
 
 
 def _records(n: int) -> list[bytes]:
@@ -79,3 +80,18 @@ def test_inference_reads_quoted_cells_as_such_only(spark, put, monkeypatch):
     assert asked[1:] == [("raw", "text", "raw")]
     assert sorted(r.level for r in got.levels("b").collect()) == ["x\ny", "z"]
     assert asked[2:] == [("class", "text", "class")]
+
+
+def test_compared_frames_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def each(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    schema = "_file string, _block bigint, _row bigint, n bigint, s string"
+    a, b = (spark.createDataFrame([("f", 0, i, i, f"{i % k}") for i in range(50)], schema).mapInArrow(each, schema) for k in (7, 5))
+    row = diagnostics.compare_frames(a, b).first()
+    assert row.n == 0.0 and row.s == sum(i % 7 != i % 5 for i in range(50)) / 50
+    assert seen.value == 100

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textframe.functions import classify
 from textframe.options import ReadOptions, input_path
 from textframe.plans.order import POSITION, numbered, quoted
+from textframe.plans.storage import stored
 from textframe.sources.header import find_header, without_header
 from textframe.sources.records import lines, text_files
 
@@ -93,13 +94,13 @@ def compare_frames(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: for numeric columns the largest absolute difference, for others the share of rows that differ.
 
     a and b have the same columns and the position columns of loaded frames; rows are matched by
-    their number in file order.
+    their number in file order. Both are kept below spark.checkpoint.dir, so that counting rows doesn't load them again.
     """
     names = [c for c in a.columns if c not in POSITION]
     kinds = dict(a.dtypes)
     each = lambda of, x: (F.col(quoted(c)).alias(f"{x}{i}") for i, c in enumerate(names))
-    left = numbered(a.select(*POSITION, *each(a, "l")))
-    right = numbered(b.select(*POSITION, *each(b, "r")), "_m").drop(*POSITION)
+    left = numbered(stored(a.select(*POSITION, *each(a, "l")), "compared"))
+    right = numbered(stored(b.select(*POSITION, *each(b, "r")), "compared"), "_m").drop(*POSITION)
     both = left.join(right, left["_n"] == right["_m"], "full")
     each = []
     for i, name in enumerate(names):
