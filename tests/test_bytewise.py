@@ -82,6 +82,64 @@ def test_inference_reads_quoted_cells_as_such_only(spark, put, monkeypatch):
     assert asked[2:] == [("class", "text", "class")]
 
 
+@pytest.fixture
+def passes(spark, monkeypatch):
+    """A list that gets a member for each pass over all lines that goes through Python, in splits of 1 kB."""
+    found = []
+    passed = frame_.QuotedRecords._passed
+    monkeypatch.setattr(frame_.QuotedRecords, "_passed", lambda self, *x: found.append(x) or passed(self, *x))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    yield found
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def _mixed() -> list[tuple[int, str, str]]:
+    """Texts of no, few and many bytes, with line ends, NUL and escapes."""
+    texts = [f"{i}\n" + "é'\\\" ,\n\0" * (i % 40) for i in range(119)] + [""]
+    return [(i, x, "de" if i % 3 else "") for i, x in enumerate(texts)]
+
+
+def _sizes(rows: list[tuple]) -> tuple:
+    return tuple(sum(x if isinstance(x, int) else len(x.encode()) for x in column) for column in zip(*rows, strict=True))
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_sums_in_one_pass(spark, tmp_path, passes, parts):
+    """Inference, sums, levels and short columns read the lines once, records that cross splits too; long texts take another pass."""
+    rows = _mixed()
+    tf.write_parts(spark.createDataFrame(rows, "n int, t string, l string").repartition(parts), f"{tmp_path}/x")
+    got = tf.read_csv(spark, f"{tmp_path}/x", allow_quoted_newlines=True)
+    assert got._cells._records.crosses
+    assert tuple(got.sums().first()) == _sizes(rows)
+    assert sorted(got.level_list("l")) == ["", "de"]
+    assert sorted(r.n for r in got.column("n").collect()) == list(range(120))
+    assert len(passes) == 1
+    assert sorted(map(tuple, got.expanded().collect())) == [(i, x.replace("\0", " "), y) for i, x, y in rows]
+    assert len(passes) == 2
+
+
+def test_sums_of_set_and_odd_columns(spark, put, passes):
+    """Texts that inference doesn't read, or can't decode, are read where they are asked for."""
+    long = "ü" * 100
+    path = put(f'a,b,c,d\n1,"{long}\ny","7",3\n2,"{long}",\\x38,\n'.encode())
+    got = tf.read_csv(spark, path, allow_quoted_newlines=True, text_names="b", num_names="c", empty_cell="null")
+    assert tuple(got.sums().first()) == (3, 402, 15, 3)
+    bad = tf.read_csv(spark, put(b'a,b\n1,"x\ny"\n2,"\\x4"\n'), allow_quoted_newlines=True)
+    assert [(c.semantics, c.dtype) for c in bad.columns] == [("num", "uint8"), ("cat", "string")]
+    assert bad.column("a").count() == 2
+    with pytest.raises(Exception, match="too few hex digits"):
+        bad.sums().first()
+
+
+def test_bytes_that_are_not_text(spark, put):
+    """Short and long cells that aren't UTF-8 keep their bytes."""
+    rows = [b"\xff\n\xc3", b"\xfe" * 300]
+    path = put(b"a\n" + b"".join(b'"' + x + b'"\n' for x in rows))
+    got = tf.read_csv(spark, path, allow_quoted_newlines=True, out_encoding="unknown")
+    assert got.sums().first()[0] == 303
+    assert got.level_list("a") == rows
+
+
 def test_compared_frames_are_computed_once(spark):
     seen = spark.sparkContext.accumulator(0)
 

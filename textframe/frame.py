@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textframe.functions import classify, lexing
-from textframe.functions.bytewise import CLASS, RAW, TEXT
+from textframe.functions.bytewise import CLASS, RAW, SHORT, TEXT
 from textframe.functions.escapes import let, null_to_space
 from textframe.operators import levels as levels_
 from textframe.options import ReadOptions, input_path
@@ -60,9 +60,11 @@ class TextFrame:
     def _only(self, wanted: Iterable[int]) -> DataFrame:
         """Position and the values of some columns, named by their places."""
         wanted = list(wanted)
+        return values(self._cells.rows(self._asked(wanted)), self.columns, self.options).select(*POSITION, *(f"c{i}" for i in wanted))
+
+    def _asked(self, wanted: Iterable[int]) -> tuple[str, ...]:
         asked = {i: TEXT if self.columns[i].dtype == "string" else RAW for i in wanted}
-        rows = self._cells.rows(tuple(asked.get(i, CLASS) for i in range(len(self.columns))))
-        return values(rows, self.columns, self.options).select(*POSITION, *(f"c{i}" for i in wanted))
+        return tuple(asked.get(i, CLASS) for i in range(len(self.columns)))
 
     def placed(self) -> DataFrame:
         """The rows' places in the files (`_file`, `_block`, `_row`) and the columns c0, c1, ... in the order of the file."""
@@ -139,8 +141,11 @@ class TextFrame:
         """One row: the sum of each numeric column, and of the byte lengths of each other column."""
         if self._cells is None:
             return self._empty()
-        each = [F.sum(F.octet_length(f"c{i}")) if c.dtype == "string" else F.sum(F.col(f"c{i}").cast("double" if c.dtype == "float" else "long")) for i, c in enumerate(self.columns)]
-        return self._placed.agg(*(x.alias(c.name) for x, c in zip(each, self.columns, strict=True)))
+        rows = self._cells.sized(self._asked(range(len(self.columns))))
+        frame = self._placed if rows is None else values(rows, self.columns, self.options, ("_n",))
+        size = lambda i: F.octet_length(f"c{i}") if rows is None else F.coalesce(F.col("_n")[i], F.octet_length(f"c{i}"))
+        each = [F.sum(size(i)) if c.dtype == "string" else F.sum(F.col(f"c{i}").cast("double" if c.dtype == "float" else "long")) for i, c in enumerate(self.columns)]
+        return frame.agg(*(x.alias(c.name) for x, c in zip(each, self.columns, strict=True)))
 
     # delivery to the driver
 
@@ -283,6 +288,10 @@ class Cells:
         """Position, the array `_t` of cells, raw or as `Cutter` gives them, and there whether they are quoted (`_q`)."""
         return self._records.cells(asked) if self.quoted else token_rows(self._records, self._n, self._options)
 
+    def sized(self, asked: tuple[str, ...]) -> DataFrame | None:
+        """As `rows`, with the lengths `_n` of texts in place of long ones, if inference has kept them."""
+        return self._records.sized(asked) if self.quoted else None
+
     def count(self) -> int:
         return (self._records.frame if self.quoted else self._records).count()
 
@@ -290,6 +299,8 @@ class Cells:
         """Aggregates for inference. Texts are needed where there are limits, raw cells where a column is forced to be numeric."""
         options = self._options
         other = TEXT if options.limits else CLASS
+        if self.quoted and not options.limits and not all(options.settled(name) for name in names):
+            self._records.keep_brief(tuple(RAW if options.forced(name) == "num" else CLASS if options.settled(name) else SHORT for name in names))
         rows = self.rows(tuple(RAW if options.forced(name) == "num" else other for name in names))
         return profile(rows, names, options, lambda t, q: cell_string(t, q, options, self.quoted))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textframe.functions.bytewise import CELLS, Cutter
+from textframe.functions.bytewise import BRIEF, CELLS, CLASS, RAW, SHORT, TEXT, BriefCutter, Cutter
 from textframe.options import ReadOptions
 from textframe.plans.order import BROADCAST_SPLITS, POSITION, near
 from textframe.plans.storage import stored
@@ -28,6 +28,8 @@ from textframe.sources.header import Header, without_header
 _RECORDS = "_file string, _block bigint, _row bigint, value binary"
 _SCHEMA = f"{_RECORDS}, piece string"
 _CUT = f"_file string, _block bigint, _row bigint, {CELLS}"
+_BRIEF = f"_file string, _block bigint, _row bigint, {BRIEF}"
+_BRIEF_OR_PIECE = f"{_BRIEF}, value binary, piece string"
 _KINDS = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string())
 
 
@@ -165,10 +167,32 @@ def _cut(source: Callable, cutter: Cutter, keep: Callable[[int, int, bytes], boo
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lists in source(batches):
-            at = [i for i, (block, row, value) in enumerate(zip(*lists[1:4], strict=True)) if value not in (b"", b"\r") and keep(block, row, value)]
-            files, blocks, rows, values, _ = _at(at, lists)
-            places = [pa.array(x, kind) for x, kind in zip((files, blocks, rows), _KINDS, strict=False)]
-            yield _batch(_CUT, [*places, *cutter(values, files, blocks)])
+            yield _batch(_BRIEF if isinstance(cutter, BriefCutter) else _CUT, _cells(lists, cutter, keep))
+
+    return cells
+
+
+def _cells(lists: tuple[list, ...], cutter: Cutter, keep: Callable[[int, int, bytes], bool]) -> list[pa.Array]:
+    at = [i for i, (block, row, value) in enumerate(zip(*lists[1:4], strict=True)) if value not in (b"", b"\r") and keep(block, row, value)]
+    files, blocks, rows, values, _ = _at(at, lists)
+    return [*_places(files, blocks, rows), *cutter(values, files, blocks)]
+
+
+def _places(*lists: list) -> list[pa.Array]:
+    return [pa.array(x, kind) for x, kind in zip(lists, _KINDS, strict=False)]
+
+
+def _cut_and_pieces(cutter: BriefCutter, keep: Callable[[int, int, bytes], bool]) -> Callable:
+    """As `_cut`, with the pieces that cross splits as rows without cells."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lists in _joined(batches):
+            whole = _cells(_at([i for i, piece in enumerate(lists[4]) if not piece], lists), cutter, keep)
+            yield _batch(_BRIEF_OR_PIECE, [*whole, *(pa.nulls(len(whole[0]), kind) for kind in _KINDS[3:])])
+            lists = _at([i for i, piece in enumerate(lists[4]) if piece], lists)
+            if lists[0]:
+                pieces = _places(*lists)
+                yield _batch(_BRIEF_OR_PIECE, [*pieces[:3], *(pa.nulls(len(lists[0]), x.type) for x in whole[3:]), *pieces[3:]])
 
     return cells
 
@@ -198,15 +222,24 @@ class QuotedRecords:
         if n > BROADCAST_SPLITS:
             rows = rows.repartition("_file", "_block").sortWithinPartitions("_file", "_block", "_row")
         self.rows = rows
-        # at most two pieces for each split, joined once; what reads the records later passes over them. If no record
-        # crosses splits, a piece is the last record of a file whose end is escaped
-        self.joined = _whole if crosses else _joined
-        self.crossing = stored(_crossing(rows.mapInArrow(_pieces, _SCHEMA)), "crossing") if crosses else None
+        # what reads the records passes over the pieces that cross splits. If no record crosses splits, a piece is the
+        # last record of a file whose end is escaped
+        self.crosses, self.joined = crosses, _whole if crosses else _joined
+        self.brief, self.of_brief = None, ()
+
+    def _passed(self, through: Callable, schema: str) -> DataFrame:
+        """What a function of batches makes of the lines: a pass over the whole input."""
+        return self.rows.mapInArrow(through, schema)
+
+    @cached_property
+    def crossing(self) -> DataFrame | None:
+        """The records that cross splits, joined once from at most two pieces for each split. `keep_brief` finds them on its way."""
+        return stored(_crossing(self._passed(_pieces, _SCHEMA)), "crossing") if self.crosses else None
 
     @cached_property
     def frame(self) -> DataFrame:
         """(_file, _block, _row, value) for each record."""
-        found = self.rows.mapInArrow(_records(self.joined), _RECORDS)
+        found = self._passed(_records(self.joined), _RECORDS)
         if self.crossing is not None:
             found = found.union(self.crossing)
         found = found.withColumn("value", F.col("value").cast("string"))
@@ -221,24 +254,69 @@ class QuotedRecords:
         """Position and the arrays `_t` of cells and `_q` of whether they are quoted; asked: as of `Cutter`.
 
         Records are cut in the tasks that join them, without another way to Python and back, unless the
-        header or an escaped end of a file has to be told by other rows.
+        header or an escaped end of a file has to be told by other rows. What `keep_brief` has kept isn't cut again.
         """
+        if self.brief is not None and all(self._kept(i, x) for i, x in enumerate(asked)):
+            return _spread(self.brief, self.options)
         cutter = Cutter(asked, self.options.convert_null_to_space)
-        header, several = self.header, len(self.files) > 1
-        if self.kept or (several and header.present and self.odd):
-            return self._by_rows(self.frame, _cut(_listed, cutter, lambda block, row, value: True))
-        if several:
-            keep = lambda block, row, value: block or not header.present or value != header.raw
-        else:
-            first = (header.block, header.row + header.present)
-            keep = lambda block, row, value: (block, row) >= first
-        found = self.rows.mapInArrow(_cut(self.joined, cutter, keep), _CUT)
+        if self._by_frame:
+            return self._by_rows(self.frame, cutter, lambda block, row, value: True)
+        found = self._passed(_cut(self.joined, cutter, self._keep), _CUT)
         if self.crossing is not None:
-            found = found.union(self._by_rows(self.crossing, _cut(_listed, cutter, keep)))
+            found = found.union(self._by_rows(self.crossing, cutter, self._keep))
         return _spread(found, self.options)
 
-    def _by_rows(self, records: DataFrame, cut: Callable) -> DataFrame:
-        return records.select(*POSITION, F.col("value").cast("binary").alias("value")).mapInArrow(cut, _CUT)
+    def keep_brief(self, asked: tuple[str, ...]) -> None:
+        """Keeps the cells, without long texts, below spark.checkpoint.dir; asked: as of `BriefCutter`.
+
+        In the same pass the pieces that cross splits are found. Columns without a long text, and lengths, are then
+        read from there; RAW cells of a SHORT column too, so they may be asked of columns without any text only.
+        """
+        cutter = BriefCutter(asked, self.options.convert_null_to_space)
+        if self._by_frame:
+            kept = stored(self._by_rows(self.frame, cutter, lambda block, row, value: True), "cells")
+        elif self.crosses:
+            made = stored(self._passed(_cut_and_pieces(cutter, self._keep), _BRIEF_OR_PIECE), "cells")
+            pieces = made.filter(F.col("piece").isNotNull()).select(*POSITION, "value", "piece")
+            self.crossing = stored(_crossing(pieces), "crossing")
+            kept = made.filter(F.col("piece").isNull()).drop("value", "piece").union(stored(self._by_rows(self.crossing, cutter, self._keep), "cells"))
+        else:
+            kept = stored(self._passed(_cut(self.joined, cutter, self._keep), _BRIEF), "cells")
+        self.brief, self.of_brief = kept, asked
+
+    def sized(self, asked: tuple[str, ...]) -> DataFrame | None:
+        """As `cells`, with the lengths `_n` of the texts that are left empty; None if not all of them are known."""
+        known = lambda i, x: self._kept(i, x) or (x == TEXT and self.of_brief[i] == SHORT and self._left[i] >= 0)
+        return _spread(self.brief, self.options) if self.brief is not None and all(known(i, x) for i, x in enumerate(asked)) else None
+
+    def _kept(self, i: int, asked: str) -> bool:
+        """Whether the brief cells of a column hold what is asked of it."""
+        if asked == TEXT:
+            return self.of_brief[i] == SHORT and i not in self._left
+        return asked == CLASS or self.of_brief[i] in {RAW: (RAW, SHORT), SHORT: (SHORT,)}[asked]
+
+    @cached_property
+    def _left(self) -> dict[int, int]:
+        """The columns that have left texts out of the brief cells, and the least of their lengths."""
+        left = self.brief.filter(F.col("_n").isNotNull()).select(F.posexplode("_n").alias("i", "n"))
+        return dict(left.filter(F.col("n").isNotNull()).groupBy("i").agg(F.min("n")).collect())
+
+    @property
+    def _by_frame(self) -> bool:
+        return bool(self.kept or (len(self.files) > 1 and self.header.present and self.odd))
+
+    @property
+    def _keep(self) -> Callable[[int, int, bytes], bool]:
+        """Whether a record, told by its place and text, is none of the header and the blank lines before it."""
+        header = self.header
+        if len(self.files) > 1:
+            return lambda block, row, value: block or not header.present or value != header.raw
+        first = (header.block, header.row + header.present)
+        return lambda block, row, value: (block, row) >= first
+
+    def _by_rows(self, records: DataFrame, cutter: Cutter, keep: Callable[[int, int, bytes], bool]) -> DataFrame:
+        schema = _BRIEF if isinstance(cutter, BriefCutter) else _CUT
+        return records.select(*POSITION, F.col("value").cast("binary").alias("value")).mapInArrow(_cut(_listed, cutter, keep), schema)
 
 
 def _crossing(made: DataFrame) -> DataFrame:
