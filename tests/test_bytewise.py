@@ -9,6 +9,7 @@ import textframe as tf
 from textframe import frame as frame_
 from textframe.functions import bytewise, lexing
 from textframe.operators import diagnostics
+from textframe.sources import records as records_
 
 
 def _records(n: int) -> list[bytes]:
@@ -118,6 +119,55 @@ def test_sums_in_one_pass(spark, tmp_path, passes, parts):
     assert len(passes) == 2
 
 
+@pytest.mark.parametrize("limit", [{"max_level_name_length": 40}, {"max_levels": 60}, {"max_levels": 119}, {"max_levels": 120, "max_level_name_length": 1000}])
+def test_limits_in_one_pass(spark, tmp_path, passes, limit):
+    """Lengths and numbers of levels, and the levels of short columns, come from the pass that infers."""
+    rows = _mixed()
+    longest, levels = max(len(x.encode()) for _, x, _ in rows), len({x for _, x, _ in rows})
+    tf.write_parts(spark.createDataFrame(rows, "n int, t string, l string").repartition(2), f"{tmp_path}/x")
+    got = tf.read_csv(spark, f"{tmp_path}/x", allow_quoted_newlines=True, **limit)
+    beyond = longest > limit.get("max_level_name_length", longest) or levels > limit.get("max_levels", levels)
+    assert [(c.semantics, c.dtype) for c in got.columns] == [("num", "uint8"), ("text" if beyond else "cat", "string"), ("cat", "string")]
+    assert got.code_dtype("l") == "uint8"
+    assert len(passes) == 1
+    assert tuple(got.sums().first()) == _sizes(rows)
+    assert len(passes) == 1
+
+
+def test_long_levels_are_told_apart(spark, put):
+    """Levels of one length count as different, equal ones once; and limits tell of texts that can't be decoded."""
+    rows = [x * 200 for x in ("a", "b", "c", "a")]
+    path = put(("t\n" + "".join(f'"{x}\n"\n' for x in rows)).encode())
+    for most, meaning in ((2, "text"), (3, "cat")):
+        got = tf.read_csv(spark, path, allow_quoted_newlines=True, max_levels=most)
+        assert got.columns[0].semantics == meaning
+    assert got.level_list("t") == [f"{x * 200}\n" for x in "abc"]
+    with pytest.raises(Exception, match="too few hex digits"):
+        tf.read_csv(spark, put(b'a\n"\\x4"\n'), allow_quoted_newlines=True, max_level_name_length=40)
+
+
+def test_sizes_and_quotes_without_decoding():
+    """Where a size is told, it is the decoded text's."""
+    told, pick = 0, random.Random(7)
+    units = [b"\\\\", b'\\"', b"\\'", b"\\n", b"x", b"\n", b"\xff", b"\xc3\xa9", b"\\x41", b"\\e", b'""']
+    cells = [b'"' + b"".join(pick.choices(units, [9, 9, 9, 9, 9, 9, 9, 9, 1, 1, 1], k=pick.randint(0, 9))) + b'"' for _ in range(2000)]
+    for cell in [*cells, *(x for record in _records(500) for x in bytewise.tokens(record))]:
+        size = bytewise.text_size(cell)
+        told += size is not None
+        assert size in (None, len(bytewise.cell_text(cell)))
+    assert told > 1000
+    assert bytewise.text_size(b'"a\\n\\\\\\"\\\'"') == 5
+    assert bytewise.text_size(b'"\\x41"') is None
+
+
+def test_quotes_of_lines(spark):
+    """Quotes and escaped ends of lines, as in the expressions."""
+    lines = [x.replace(b"\n", b"") for x in _records(500)]
+    rows = spark.createDataFrame(list(enumerate(map(bytearray, lines))), "i int, v binary").select("i", F.col("v").cast("string").alias("v"))
+    got = rows.select("i", records_.quote_count(F.col("v")), records_.end_escaped(F.col("v"))).orderBy("i").collect()
+    assert [tuple(r) for r in got] == [(i, records_._quotes(x), records_._tail(x)) for i, x in enumerate(lines)]
+
+
 def test_sums_of_set_and_odd_columns(spark, put, passes):
     """Texts that inference doesn't read, or can't decode, are read where they are asked for."""
     long = "ü" * 100

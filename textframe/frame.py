@@ -296,12 +296,15 @@ class Cells:
         return (self._records.frame if self.quoted else self._records).count()
 
     def profile(self, names: list[str]) -> dict:
-        """Aggregates for inference. Texts are needed where there are limits, raw cells where a column is forced to be numeric."""
+        """Aggregates for inference. Texts, or what stands for long ones, are needed where there are limits, raw cells where a column is forced to be numeric."""
         options = self._options
-        other = TEXT if options.limits else CLASS
-        if self.quoted and not options.limits and not all(options.settled(name) for name in names):
-            self._records.keep_brief(tuple(RAW if options.forced(name) == "num" else CLASS if options.settled(name) else SHORT for name in names))
-        rows = self.rows(tuple(RAW if options.forced(name) == "num" else other for name in names))
+        other = SHORT if options.limits else CLASS
+        if all(options.settled(name) for name in names):
+            return {}
+        if self.quoted:
+            asked = (RAW if options.forced(name) == "num" else CLASS if options.settled(name) else SHORT for name in names)
+            self._records.keep_brief(tuple(asked), strict=options.limits, digests=options.max_levels is not None)
+        rows = self.rows(tuple(RAW if options.forced(name) == "num" else CLASS if options.settled(name) else other for name in names))
         return profile(rows, names, options, lambda t, q: cell_string(t, q, options, self.quoted))
 
 

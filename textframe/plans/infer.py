@@ -66,18 +66,20 @@ def profile(cells: DataFrame, names: list[str], options: ReadOptions, text: Call
     Cells are put below each other and grouped by their place, so the plan has one classifier and
     a few sums however many columns there are; each task gives a row for each column. Columns whose
     meaning and type the caller has set have no row, and where all are set, nothing is read.
-    text: the text of a cell, given the cell and whether it is quoted. An array `_q` may tell that of each cell.
+    text: the text of a cell, given the cell and whether it is quoted. An array `_q` may tell that of each cell, and with it
+    `_n` the lengths of texts that aren't there, which differ if their cells do.
     """
     wanted = [i for i, name in enumerate(names) if not options.settled(name)]
     if not wanted:
         return {}
     told = "_q" in cells.columns
-    of = lambda i: [F.col("_t")[i].alias("t"), *([F.col("_q")[i].alias("q")] if told else [])]
+    of = lambda i: [F.col("_t")[i].alias("t"), *([F.col("_q")[i].alias("q"), F.col("_n")[i].alias("n")] if told else [])]
     some = F.array(*(F.struct(F.lit(i).alias("i"), *of(i)) for i in wanted))
     if len(wanted) < len(names):
         each = cells.select(F.inline(some))
     elif told:
-        each = cells.select(F.col("_t").alias("t"), F.col("_q").alias("q")).select(F.posexplode(F.arrays_zip("t", "q")).alias("i", "x")).select("i", "x.t", "x.q")
+        sizes = F.coalesce("_n", F.array().cast("array<int>"))  # the shorter array is filled up with nulls
+        each = cells.select(F.col("_t").alias("t"), F.col("_q").alias("q"), sizes.alias("n")).select(F.posexplode(F.arrays_zip("t", "q", "n")).alias("i", "x")).select("i", "x.t", "x.q", "x.n")
     else:
         each = cells.select(F.posexplode("_t").alias("i", "t"))
     cell = F.col("t")
@@ -86,7 +88,7 @@ def profile(cells: DataFrame, names: list[str], options: ReadOptions, text: Call
         each = each.select("i", "t", classify.number_only_class(cell).alias("kind"))
         real, integer = classify.lenient_double(cell), classify.integer_prefix(cell)
     else:
-        each = each if told else each.withColumn("q", lexing.is_quoted(cell))
+        each = each if told else each.select("i", "t", lexing.is_quoted(cell).alias("q"), F.lit(None).cast("int").alias("n"))
         kinds = classify.cell_class(cell, F.col("q"))
         real, integer = classify.double_value(cell), classify.integer_value(cell)
         numeric = [i for i, name in enumerate(names) if options.forced(name) == "num"]
@@ -95,7 +97,7 @@ def profile(cells: DataFrame, names: list[str], options: ReadOptions, text: Call
             kinds = F.when(F.col("i").isin(numeric), forced).otherwise(kinds)
             real = F.when(F.col("i").isin(numeric), classify.lenient_double(lexing.cell_text(cell))).otherwise(real)
         shown = [text(cell, F.col("q")).alias("shown")] if options.limits else []
-        each = each.select("i", "t", kinds.alias("kind"), *shown)
+        each = each.select("i", "t", "n", kinds.alias("kind"), *shown)
     each = each.select("*", F.when(kind == "float", real).alias("number"), F.when(kind == "integer", integer).alias("whole"))
     value = F.coalesce(whole, F.when(_whole(number), number.try_cast("bigint")))
     if not options.number_only and options.empty_cell == "zero":
@@ -103,10 +105,10 @@ def profile(cells: DataFrame, names: list[str], options: ReadOptions, text: Call
     fraction = (kind == "missing") | ((kind == "float") & ~F.coalesce(_whole(number), F.lit(False))) | ((kind == "integer") & whole.isNull())
     sums = [F.count_if(kind == "string").alias("strings"), F.min(value).alias("low"), F.max(value).alias("high"), F.max(F.coalesce(fraction, F.lit(False))).alias("fractions")]
     if options.limits and not options.number_only:
-        sums.append(F.max(F.octet_length("shown")).alias("longest"))
+        sums.append(F.max(F.coalesce("n", F.octet_length("shown"))).alias("longest"))
         if options.max_levels is not None:
             # 96 bits of hashes stand for the texts, which are not shuffled
-            sums.append(F.count_distinct(F.when(F.col("shown").isNotNull(), F.struct(F.xxhash64("shown"), F.hash("shown")))).alias("levels"))
+            sums.append(F.count_distinct(F.when(F.col("shown").isNotNull(), F.struct("n", F.xxhash64("shown"), F.hash("shown")))).alias("levels"))
     return {row["i"]: row for row in each.groupBy("i").agg(*sums).collect()}
 
 

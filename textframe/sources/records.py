@@ -59,6 +59,17 @@ def end_escaped(value: Column) -> Column:
     return F.when(value.endswith("\\"), F.length(F.regexp_extract(value, r"(\\+)\z", 1)) % 2 == 1).otherwise(False)
 
 
+def _quotes(line: bytes) -> int:
+    """`quote_count` of a line's bytes."""
+    every = line.count(b'"')
+    return every - line.replace(b"\\\\", b"").count(b'\\"') if every and b'\\"' in line else every
+
+
+def _tail(line: bytes) -> bool:
+    """`end_escaped` of a line's bytes."""
+    return line[-1:] == b"\\" and (len(line) - len(line.rstrip(b"\\"))) % 2 == 1
+
+
 def splits(source: DataFrame, header: Header) -> DataFrame:
     """A row for each split: whether its first line goes on with a record, whether that is in a quote, whether its
     last line leaves a quote open (open) or has an escaped end (tail), whether the file has a last line end (ended),
@@ -91,7 +102,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, lis
 
     for batch in batches:
         value = batch.column("value").to_pylist()
-        quotes, tails = batch.column("quotes").to_numpy(zero_copy_only=False), batch.column("tail").to_numpy(zero_copy_only=False)
+        quotes, tails = np.fromiter(map(_quotes, value), np.int64, len(value)), np.fromiter(map(_tail, value), bool, len(value))
         block, at = batch.column("_block").to_numpy(zero_copy_only=False), batch.column("_row").to_numpy(zero_copy_only=False)
         names = batch.column("_file").dictionary_encode()
         code = names.indices.to_numpy(zero_copy_only=False)
@@ -218,7 +229,7 @@ class QuotedRecords:
         n, crosses, self.odd = known.agg(F.count(F.lit(1)), F.max("goes_on"), F.max(F.col("odd") & (F.col("_block") == 0))).first()
         of = known.select(F.col("_file").alias("_f"), F.col("_block").alias("_b"), "inside", "goes_on")
         rows = source.join(near(of, n), (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
-        rows = rows.select("_file", "_block", "_row", F.col("value").cast("binary").alias("value"), quote_count(F.col("value")).alias("quotes"), end_escaped(F.col("value")).alias("tail"), "inside", "goes_on")
+        rows = rows.select("_file", "_block", "_row", F.col("value").cast("binary").alias("value"), "inside", "goes_on")
         if n > BROADCAST_SPLITS:
             rows = rows.repartition("_file", "_block").sortWithinPartitions("_file", "_block", "_row")
         self.rows = rows
@@ -266,13 +277,13 @@ class QuotedRecords:
             found = found.union(self._by_rows(self.crossing, cutter, self._keep))
         return _spread(found, self.options)
 
-    def keep_brief(self, asked: tuple[str, ...]) -> None:
-        """Keeps the cells, without long texts, below spark.checkpoint.dir; asked: as of `BriefCutter`.
+    def keep_brief(self, asked: tuple[str, ...], **how: bool) -> None:
+        """Keeps the cells, without long texts, below spark.checkpoint.dir; asked, how: as of `BriefCutter`.
 
         In the same pass the pieces that cross splits are found. Columns without a long text, and lengths, are then
         read from there; RAW cells of a SHORT column too, so they may be asked of columns without any text only.
         """
-        cutter = BriefCutter(asked, self.options.convert_null_to_space)
+        cutter = BriefCutter(asked, self.options.convert_null_to_space, **how)
         if self._by_frame:
             kept = stored(self._by_rows(self.frame, cutter, lambda block, row, value: True), "cells")
         elif self.crosses:
